@@ -64,3 +64,14 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], rows: int | None
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
+
+
+def process_cache(name: str, make):
+    """What make() gave when first asked for `name` in this process; Python workers serve many tasks."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_orrery_process_cache", types.ModuleType("_orrery_process_cache")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat_format, quality_rules, url_filter
+from orrery.llm import chat_format, fingerprint, packing, quality_rules, simhash, toxicity, url_filter
 from orrery.llm.common import table
 
 
@@ -124,9 +124,29 @@ FROM v LEFT JOIN fits ON v.page_id = fits.page_id AND v.url = fits.url LEFT JOIN
 )
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filter": op3_url_filter,
+    "op6_fingerprints": op6_fingerprints,
+    "op8_packing": op8_packing,
+    "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_url_filter": OP3_SQL}
