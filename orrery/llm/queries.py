@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat_format, fingerprint, packing, quality_rules, simhash, toxicity, url_filter
+from orrery.llm import chat_format, fingerprint, html_extract, packing, quality_classifier, quality_rules, sentencepiece_viterbi, simhash, toxicity, url_filter
 from orrery.llm.common import table
 
 
@@ -124,10 +124,22 @@ FROM v LEFT JOIN fits ON v.page_id = fits.page_id AND v.url = fits.url LEFT JOIN
 )
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_viterbi.digest_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -144,7 +156,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filter": op3_url_filter,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_html_extract": op5_html_extract,
     "op6_fingerprints": op6_fingerprints,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Hash buckets of terms; factors of a term; labelled documents a class that the fit takes at most (by hash of the id, the same
 #: every time); terms the model keeps, by the evidence of their counts; evidence below which a term is not kept.
 BUCKETS, FACTORS, SAMPLE_PER_CLASS, TERMS, EVIDENCE = 1 << 22, 4, 6000, 1 << 14, 3.0
-EPOCHS, RATE, L2, PREFIX = 40, 0.05, 2e-4, 5
+EPOCHS, RATE, L2, PREFIX = 100, 0.05, 2e-4, 5
 #: Documents of ids with this remainder are held out.
 PARTS, HELD_OUT = 4, 2
 _MARKS = bytes.maketrans(
