@@ -112,4 +112,7 @@ def ablation(ledgers: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 def keep(docs: DataFrame, text: str = "text", policy: str = CURRENT) -> DataFrame:
     """The rows that pass the policy, with their columns as they were."""
-    return ledger(docs, text, docs.columns).filter(passes(policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    # The bits pass through explode: else the filter would be pushed below the measurements and compute them anew for each use.
+    judged = ledger(whole, "text", ["row"]).select("row", F.explode(F.array("fail_bits")).alias("bits"))
+    return judged.filter(passes(policy, "bits")).select("row.*")
