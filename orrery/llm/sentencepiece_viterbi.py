@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,6 @@ MARK = "▁"
 UNIT, BYTE_SCORE = 1_000_000, -30_000_000
 #: Words a worker remembers, and the longest that is remembered.
 MEMO_WORDS, MEMO_CHARS = 400_000, 48
-_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def default_model() -> str:
@@ -44,11 +44,39 @@ class Pieces:
         first = min(self.ids.values())
         self.score = [-round(UNIT * math.log(i - first + 2)) if i >= first else BYTE_SCORE for i in range(len(self.text))]
         self.longest = max(map(len, self.ids))
-        #: prefixes of pieces that aren't themselves worth a lookup end a search early
-        self.starts = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        #: scores of pieces, and 0 for other beginnings of pieces; what isn't here ends a search early
+        self.table = {p[:n]: 0 for p in self.ids for n in range(1, len(p) + 1)} | {p: self.score[i] for p, i in self.ids.items()}
         #: no piece goes on past a mark that follows another character, so words between marks are independent
         self.apart = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.memo: dict[str, list[int]] = {}
+        #: nor does one with more characters hold a line end
+        self.lines = not any("\n" in p and len(p) > 1 for p in self.ids)
+        self.words = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if self.lines else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.raw = [bytes((self.of_byte[i],)) if i in self.of_byte else t.encode("utf-8", "surrogatepass") for i, t in enumerate(self.text)]
+        self.memo = _Memo(self)
+
+
+class _Memo(dict):
+    """Words to their ids as unsigned 32-bit bytes. Two generations: a full one is kept until the next is full."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces, self.old = pieces, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            if len(word) <= MEMO_CHARS:
+                ids = _best(self.pieces, word)
+            else:
+                v = Viterbi(self.pieces)
+                ids = v.feed(word) + v.finish()
+            found = array("I", ids).tobytes()
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
+        return found
 
 
 class Viterbi:
@@ -118,61 +146,52 @@ class Viterbi:
 
 
 def _best(p: Pieces, word: str) -> list[int]:
-    """The whole-lattice search for a word that fits in the window, forward, with prefix pruning."""
-    n, top = len(word), -(1 << 62)
-    best, back = [0] + [top] * n, [(0, ())] * (n + 1)
-    get, score, starts = p.ids.get, p.score, p.starts
+    """The search over a whole word that fits in the window, forward. A character that is a piece is never cheaper as bytes."""
+    n, get = len(word), p.table.get
+    best, back = [0] + [-(1 << 62)] * n, [0] * (n + 1)
     for a in range(n):
         base = best[a]
-        raw = word[a].encode("utf-8", "surrogatepass")
-        if base + BYTE_SCORE * len(raw) >= best[a + 1]:
-            best[a + 1], back[a + 1] = base + BYTE_SCORE * len(raw), (a, tuple(p.byte[x] for x in raw) if p.byte else (0,))
+        if not get(word[a]) and (s := base + BYTE_SCORE * len(word[a].encode("utf-8", "surrogatepass"))) >= best[a + 1]:
+            best[a + 1], back[a + 1] = s, a
         for b in range(a + 1, n + 1):
-            piece = word[a:b]
-            if piece not in starts:
+            s = get(word[a:b])
+            if s is None:
                 break
-            i = get(piece)
-            if i is not None:
-                s = base + score[i]
-                if s > best[b]:
-                    best[b], back[b] = s, (a, (i,))
-    out: list[tuple] = []
+            if s and s + base > best[b]:
+                best[b], back[b] = s + base, a
+    out: list[int] = []
     while n:
-        out.append(back[n][1])
-        n = back[n][0]
-    return [i for ids in reversed(out) for i in ids]
-
-
-def encode(p: Pieces, text: str | None) -> list[int]:
-    """Ids of a whole text: spaces become marks, one is put before. Where no piece crosses a mark, all paths meet before it, and
-    the search settles there: words are then looked up among those seen, and only new or very long ones are searched."""
+        a = back[n]
+        i = p.ids.get(word[a:n])
+        if i is None:
+            out += reversed([p.byte[x] for x in word[a:n].encode("utf-8", "surrogatepass")] if p.byte else [0])
+        else:
+            out.append(i)
+        n = a
+    return out[::-1]
+
+
+def encode_bytes(p: Pieces, text: str | None) -> bytes:
+    """Ids of a whole text as unsigned 32-bit bytes: spaces become marks, one is put before. Where no piece crosses a mark or a line
+    end, all paths meet there and the search settles: words are looked up among those seen, and only new or very long ones are
+    searched."""
     if not text:
-        return []
+        return b""
     marked = MARK + text.replace(" ", MARK)
     if not p.apart:
         v = Viterbi(p)
-        return v.feed(marked) + v.finish()
-    out, memo = [], p.memo
-    for word in _WORDS.findall(marked):
-        ids = memo.get(word)
-        if ids is None:
-            if len(word) <= MEMO_CHARS:
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
-                ids = memo[word] = _best(p, word)
-            else:
-                v = Viterbi(p)
-                ids = v.feed(word) + v.finish()
-        out += ids
-    return out
+        return array("I", v.feed(marked) + v.finish()).tobytes()
+    return b"".join(map(p.memo.__getitem__, p.words.findall(marked)))
+
+
+def encode(p: Pieces, text: str | None) -> list[int]:
+    """Ids of a whole text."""
+    return np.frombuffer(encode_bytes(p, text), np.uint32).tolist()
 
 
 def decode(p: Pieces, ids: list[int]) -> str:
     """The text of ids; encode's inverse. Runs of byte pieces are read as UTF-8."""
-    if not len(ids):
-        return ""
-    raw = b"".join([bytes((p.of_byte[i],)) if i in p.of_byte else p.text[i].encode("utf-8", "surrogatepass") for i in ids])
-    return raw.decode("utf-8", "surrogatepass").replace(MARK, " ")[1:]
+    return b"".join(map(p.raw.__getitem__, ids)).decode("utf-8", "surrogatepass").replace(MARK, " ")[1:]
 
 
 def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
@@ -186,7 +205,7 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
-                found = [np.array(encode(p, t), np.int32) for t in b.column(1).to_pylist()]
+                found = [np.frombuffer(encode_bytes(p, t), np.uint32).astype(np.int32) for t in b.column(1).to_pylist()]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["doc_id", "ids"])
@@ -205,10 +224,11 @@ def digest_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             n, crc, sha, same = [], [], [], []
             for t in b.column(1):
                 text = t.as_py() or ""
-                ids = encode(p, text)
-                back = decode(p, ids)
+                raw = encode_bytes(p, text)
+                ids = np.frombuffer(raw, np.uint32)
+                back = decode(p, ids.tolist())
                 n.append(len(ids))
-                crc.append(zlib.crc32(np.array(ids, "<u4").tobytes()))
+                crc.append(zlib.crc32(raw))
                 sha.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
                 same.append(back == text.replace(MARK, " "))
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())]
