@@ -131,6 +131,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     found = near_duplicates(docs, doc_id, text)
     kept = stored(found.filter(F.col(doc_id) == F.col("component_id")).groupBy(F.col(doc_id).alias("__kept")).agg(F.count("*").alias("__n")), "simhash-kept")
     repeats = bool(kept.filter("__n > 1").head(1))
-    rest = docs.join(kept.select("__kept"), F.col(doc_id) == F.col("__kept"), "left_semi")
+    # by shuffle at every size: the kept ids grow with the documents
+    rest = docs.join(kept.select("__kept").hint("merge"), F.col(doc_id) == F.col("__kept"), "left_semi")
     rest = rest.dropDuplicates([doc_id]) if repeats else rest
     return rest.unionByName(docs.filter(F.col(doc_id).isNull()))
