@@ -18,7 +18,8 @@ RULES: dict[str, Callable[[], Column]] = {
     "too_few_words": lambda: F.col("n_words") < 50,
     "repeated_windows": lambda: 100 * F.col("n_repeat_words") > 50 * F.col("n_words"),
     "symbol_heavy": lambda: 10 * F.col("n_symbols") > F.col("word_chars"),
-    "repeated_lines": lambda: 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+    # a share of lines says little about a text of a few
+    "repeated_lines": lambda: (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")) & (F.col("n_lines") >= 10),
     "shouting": lambda: 2 * F.col("n_upper") > F.col("word_chars"),
     "exclaiming": lambda: 10 * F.col("n_exclaim") > F.col("word_chars"),
     "long_words": lambda: F.col("word_chars") > 40 * F.col("n_words"),
@@ -84,7 +85,9 @@ def ledger(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__carry"), F.col(text).alias("__in"))
     got = _measured(own, "__in")
     bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(rule(), F.lit(1 << BIT[name])).otherwise(F.lit(0)).cast("long") for name, rule in RULES.items()])
-    return got.select("__carry", F.struct(*MEASURES).alias("measures"), bits.alias("fail_bits")).select("__carry.*", "measures", "fail_bits")
+    got = got.select("__carry", F.struct(F.struct(*MEASURES).alias("measures"), bits.alias("fail_bits")).alias("told"))
+    # Through explode, so that a filter on the ledger isn't pushed below it, where it would compute the measurements anew for each use.
+    return got.select("__carry", F.explode(F.array("told")).alias("told")).select("__carry.*", "told.measures", "told.fail_bits")
 
 
 def passes(policy: str = CURRENT, bits: str = "fail_bits") -> Column:
@@ -113,6 +116,4 @@ def ablation(ledgers: DataFrame, policy: str = CURRENT) -> DataFrame:
 def keep(docs: DataFrame, text: str = "text", policy: str = CURRENT) -> DataFrame:
     """The rows that pass the policy, with their columns as they were."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    # The bits pass through explode: else the filter would be pushed below the measurements and compute them anew for each use.
-    judged = ledger(whole, "text", ["row"]).select("row", F.explode(F.array("fail_bits")).alias("bits"))
-    return judged.filter(passes(policy, "bits")).select("row.*")
+    return ledger(whole, "text", ["row"]).filter(passes(policy)).select("row.*")

@@ -75,7 +75,7 @@ m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_c
     len(regexp_extract_all(text, '[A-ZÄÖÜÀÂÇÈÉÊËÎÏÔÙÛÑÁÍÓÚ]')) AS n_upper, len(regexp_extract_all(text, '!')) AS n_exclaim
   FROM w LEFT JOIN rep USING (r)),
 b AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > word_chars)::BIGINT
-    + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (2 * n_upper > word_chars)::BIGINT + 32 * (10 * n_exclaim > word_chars)::BIGINT
+    + 8 * (10 * n_dup_lines > 3 * n_lines AND n_lines >= 10)::BIGINT + 16 * (2 * n_upper > word_chars)::BIGINT + 32 * (10 * n_exclaim > word_chars)::BIGINT
     + 64 * (word_chars > 40 * n_words)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
