@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +21,6 @@ SHARD_DOCS = 512
 QUERY_TERMS, K1, B = 32, 1.2, 0.75
 #: Words whose ids a worker remembers, in two generations.
 MEMO_WORDS = 400_000
-_ODD = re.compile(r" \s|\n\s|\s\n|\s\Z|\A\s")
 
 
 def default_ranks() -> str:
@@ -50,8 +48,8 @@ class Encoder:
     def _learn(self, words: set[str]) -> None:
         if len(self.memo) > MEMO_WORDS:
             self.memo, self.old = {}, self.memo
-        new = []
-        for w in words:
+        memo, new = self.memo, []
+        for w in [w for w in words if w not in memo]:
             ids = self.old.get(w)
             if ids is None:
                 new.append(w)
@@ -65,12 +63,8 @@ class Encoder:
                 self.memo[w] = raw[2 * a if w[:1] == "\n" else 2 * a + 2 : 2 * b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if not t or _ODD.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        words = set().union(*[s[1:] for s in split if s])
-        if len(self.memo) > MEMO_WORDS:
-            self._learn(words)
-        else:
-            self._learn(words - self.memo.keys())
+        split = [t.replace("\n", " \n").split(" ") if t and " ".join(t.split()) == t.replace("\n", " ") else None for t in texts]
+        self._learn(set().union(*[s[1:] for s in split if s]))
         get = self.memo.__getitem__
         return [np.array(self.plain(t), "<u2").tobytes() if s is None else np.array(self.plain(s[0]), "<u2").tobytes() + b"".join(map(get, s[1:])) for t, s in zip(texts, split, strict=True)]
 
@@ -85,8 +79,8 @@ def tokenized(docs: DataFrame, doc_id: str, text: str, ranks: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = process_cache(f"bpe:{ranks}", lambda: Encoder(ranks))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
                 n, full, rest, terms = [], [], [], []
                 for raw in encoder.encode([t or "" for t in b.column(2).to_pylist()]):
                     ids = np.frombuffer(raw + end, "<u2")
