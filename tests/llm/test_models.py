@@ -160,6 +160,15 @@ def test_pairs_are_learnt():
     assert m.score(np.array([1, 2])) > 0.8 and m.score(np.array([1])) < 0.3 and m.score(np.array([2])) < 0.3
 
 
+def test_pairs_of_neutral_terms_are_learnt():
+    """Half of the documents of either term are toxic, as of all; those of both always, of one never."""
+    kinds = [[1, 2], [1], [2], [3]]
+    terms = [np.array([*kinds[i % 4], 10 + i % 7]) for i in range(800)]
+    y = np.array([i % 4 in (0, 3) for i in range(800)], float)
+    m = toxicity.fit(terms, y, y.mean())
+    assert m.score(np.array([1, 2])) > 0.8 and m.score(np.array([1])) < 0.3 and m.score(np.array([2])) < 0.3 and m.score(np.array([3])) > 0.8
+
+
 def test_toxicity_edges(spark):
     d = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (None, "x", 0.5), (2, "", 0.5)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
