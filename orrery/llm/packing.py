@@ -1,4 +1,5 @@
-"""Lexical retrieval packing: a sharded BM25 index gives each seed its unused neighbours, which fill its window."""
+"""Lexical retrieval packing: documents are dealt to shards by their weightiest term; the BM25 index of a shard gives each seed its
+unused neighbours, which fill its window."""
 
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from orrery.llm.common import process_cache, stored
 
 WINDOW, END_ID, VOCAB = 1024, 0, 50257
-#: Documents a shard holds on average: an index that fits in a task many times over, whatever the corpus holds.
+#: Documents a shard holds, about: an index that fits in a task many times over, whatever the corpus holds.
 SHARD_DOCS = 512
 #: A seed asks with its QUERY_TERMS weightiest terms; the index holds every term.
 QUERY_TERMS, K1, B = 32, 1.2, 0.75
@@ -128,14 +129,49 @@ def _powers(n: int) -> list[int]:
     return [1 << i for i in range(n.bit_length() - 1, -1, -1) if n >> i & 1]
 
 
+def _weights(ids: np.ndarray, tf: np.ndarray, idf: np.ndarray, mean_length: float) -> np.ndarray:
+    """BM25 weights of a document's terms."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * float(tf.sum()) / max(mean_length, 1.0))) * idf[ids]
+
+
+def _keyed(rows: DataFrame, idf: np.ndarray, mean_length: float, df: np.ndarray) -> DataFrame:
+    """rows with key, the weightiest term of each document that another document holds too, or END_ID."""
+    shared = np.where(df > 1, idf, 0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = []
+            for rest, terms in zip(b.column("rest").to_pylist(), b.column("terms").to_pylist(), strict=True):
+                ids, tf = _terms(rest, terms)
+                w = _weights(ids, tf, shared, mean_length)
+                keys.append(int(ids[np.argmax(w)]) if len(w) and w.max() > 0 else END_ID)
+            yield b.append_column("key", pa.array(keys, pa.int32()))
+
+    schema = ", ".join(f"{k} {v}" for k, v in rows.dtypes)
+    return rows.mapInArrow(run, f"{schema}, key int")
+
+
+def _shards(counts: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(key, first shard, shards) of every key: a key with more than SHARD_DOCS documents has shards of its own, others share one."""
+    out, shard, room = [], -1, 0
+    for key in sorted(counts):
+        many = max(1, -(-counts[key] // SHARD_DOCS))
+        if counts[key] > room:
+            out.append((key, shard + 1, many))
+            shard, room = shard + many, SHARD_DOCS - counts[key] if many == 1 else 0
+        else:
+            out.append((key, shard, 1))
+            room -= counts[key]
+    return out
+
+
 def pack_shard(docs: list[tuple[bytes, bytes]], idf: np.ndarray, mean_length: float) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length) over what is left of a shard's documents. The longest document left is the next
     seed; neighbours follow by BM25 score, then by place; the one that overfills is cut, and its rest stays unused. What is left at
     the end is cut into powers of two, so nothing is padded."""
     n = len(docs)
     found = [_terms(r, t) for r, t in docs]
-    lengths = np.array([int(tf.sum()) for _, tf in found], float)
-    weights = [tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / max(mean_length, 1.0))) * idf[ids] for (ids, tf), dl in zip(found, lengths, strict=True)]
+    weights = [_weights(ids, tf, idf, mean_length) for ids, tf in found]
     term = np.concatenate([ids for ids, _ in found] or [np.zeros(0, np.int64)])
     of = np.repeat(np.arange(n), [len(ids) for ids, _ in found])
     weight = np.concatenate(weights or [np.zeros(0)])
@@ -187,8 +223,9 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of the byte-level BPE and then END_ID. Full windows of a long document are sequences of their own.
-    What is left of each (at most WINDOW - 1 ids) is dealt by hash to shards of SHARD_DOCS documents on average, and packed there.
-    Document frequencies are over all documents. Every id lies in one piece; every sequence is full or a power of two.
+    What is left of each (at most WINDOW - 1 ids) is dealt by the document's weightiest term to shards of about SHARD_DOCS documents,
+    and packed there; a term with more documents than that has several shards, dealt by hash. A seed's neighbours are those of its
+    shard: documents of other terms are not reached. Document frequencies are over all documents. Every id lies in one piece; every sequence is full or a power of two.
 
     Null or empty text: END_ID alone. Repeated rows and equal ids: documents of their own. Null doc_id: kept as null. Empty
     table: no rows. Other columns are ignored. A very long text is held once, with its ids, by the task that reads it.
@@ -196,8 +233,11 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str
     rows = stored(tokenized(docs, doc_id, text, ranks or default_ranks()), "packing-ids")
     df, n, mean_length = _document_frequencies(rows)
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    shards = max(1, -(-n // SHARD_DOCS))
     kind = dict(rows.dtypes)["doc_id"]
+    rows = stored(_keyed(rows, idf, mean_length, df), "packing-keys")
+    # a row a term: at most VOCAB
+    counts = {r["key"]: r["n"] for r in rows.groupBy("key").agg(F.count("*").alias("n")).collect()}
+    places = docs.sparkSession.createDataFrame(_shards(counts), "key int, first long, many long")
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("seq")
@@ -219,6 +259,6 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str
         return out[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
     # as text, for pandas would turn integers with nulls into floats
-    dealt = rows.withColumns({"shard": F.pmod(F.xxhash64("seq"), F.lit(shards)), "doc_id": F.col("doc_id").cast("string")})
+    dealt = rows.join(F.broadcast(places), "key").drop("key").withColumns({"shard": F.col("first") + F.pmod(F.xxhash64("seq"), F.col("many")), "doc_id": F.col("doc_id").cast("string")}).drop("first", "many")
     schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.groupBy("shard").applyInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind)).withColumnRenamed("doc_id", doc_id)

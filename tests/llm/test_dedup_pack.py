@@ -175,6 +175,22 @@ def test_neighbours_fill_windows():
     assert [d for d, _, _ in first] == [0, 2, 4, 1]
 
 
+def test_neighbours_meet_across_the_corpus(spark, monkeypatch):
+    """Documents about one thing lie far apart in the table, with many more shards than a window needs."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 8)
+    things = "river stone bread music paper horse glass light water train house table chair green black white sugar metal ocean forest".split()
+    docs = spark.createDataFrame([(i, "the one and other " * 20 + f"{things[i % 20]} " * 120) for i in range(80)], "doc_id long, text string").repartition(4)
+    sequences = {}
+    for r in packing.pack(docs).collect():
+        sequences.setdefault(r["sequence_id"], []).append(r["doc_id"] % 20)
+    full = [x for x in sequences.values() if len(x) > 1]
+    assert sum(len(set(x)) <= 2 for x in full) >= 0.8 * len(full)
+
+
+def test_shards_of_terms():
+    assert packing._shards({1: 200, 2: 400, 3: 100, 4: 1200, 5: 1}) == [(1, 0, 1), (2, 1, 1), (3, 1, 1), (4, 2, 3), (5, 5, 1)]
+
+
 def test_pipeline_by_stages(spark, sf):
     docs = table(spark, sf, "documents")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
