@@ -203,9 +203,12 @@ def pack_render(spark, sf):
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'hash_mismatch' WHEN doc_id % 4 = 1 THEN 'span_mismatch' ELSE 'ok' END AS status FROM documents WHERE n_chars > 20")
 def pack_verify(spark, sf):
     d = t(spark, sf, "documents").filter("n_chars > 20")
-    span = F.decode(F.substring(F.encode("text", "utf-8"), 1, 0), "utf-8")
+    # the middle third, by characters; verify_citation reads it by bytes
+    at, size = F.floor(F.length("text") / 3).cast("int"), F.floor(F.length("text") / 3).cast("int")
+    span = F.substring(F.col("text"), at + 1, size)
+    start = F.octet_length(F.substring(F.col("text"), F.lit(1), at))
     sha = F.when(F.col("doc_id") % 4 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("text", 256))
-    return d.select("doc_id", pack.verify_citation(F.col("text"), F.when(F.col("doc_id") % 4 == 1, "?").otherwise(span), F.lit(0), F.lit(0), sha).alias("status"))
+    return d.select("doc_id", pack.verify_citation(F.col("text"), F.when(F.col("doc_id") % 4 == 1, "?").otherwise(span), start, start + F.octet_length(span), sha).alias("status"))
 
 
 @query("""WITH RECURSIVE h AS (SELECT user_id AS qid, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank, 60 + event_id % 40 AS head, event_id % 500 AS body FROM events WHERE user_id < 30),

@@ -243,3 +243,14 @@ def test_folder_scan(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("hello")
     assert [r[0] for r in rows(events.scan_folder(spark, str(tmp_path)), "path")] == ["a.md", "sub/b.py"]
+
+
+def test_pack_verify_rereads_cited_bytes(spark, sf, monkeypatch):
+    """Every citation spans bytes of its document, and the text cited is as long."""
+    from orrery.plans import graphs
+
+    def asked(source, text, start, end, sha256):
+        return F.when(text == "?", "planted").when((end > start) & (F.octet_length(text) == end - start), "read").otherwise("empty")
+
+    monkeypatch.setattr(graphs.pack, "verify_citation", asked)
+    assert {r["status"] for r in graphs.pack_verify(spark, sf).collect()} == {"planted", "read"}
