@@ -107,7 +107,7 @@ def dense_quantized_rescored(spark, sf):
 def dense_mock_hybrid(spark, sf):
     """Dense search by the mock embedder, fused with BM25; the embedder is a byte-wise hash, which SQL can't express."""
     d = dense.mock_embedding(t(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text"))
-    q = text_queries(spark, sf)
+    q = t(spark, sf, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("qid"), "text")
     de = dense.top_k(d, dense.mock_embedding(q).select("qid", F.col("embedding").alias("qvec")), 40)
     return fusion.hybrid(de, lexical.bm25(t(spark, sf, "documents"), q, 40), 10)
 

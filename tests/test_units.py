@@ -254,3 +254,12 @@ def test_pack_verify_rereads_cited_bytes(spark, sf, monkeypatch):
 
     monkeypatch.setattr(graphs.pack, "verify_citation", asked)
     assert {r["status"] for r in graphs.pack_verify(spark, sf).collect()} == {"planted", "read"}
+
+
+def test_mock_hybrid_asks_every_fiftieth(spark):
+    """The queries grow with their table."""
+    from orrery.plans import retrieval
+
+    sf = "/root/testdata/sf0.1"
+    asked = {r["item_id"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").filter("item_id % 50 = 0").collect()}
+    assert len(asked) > 1 and {r["qid"] for r in retrieval.dense_mock_hybrid(spark, sf).select("qid").distinct().collect()} == asked
