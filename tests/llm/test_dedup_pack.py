@@ -153,6 +153,8 @@ def test_packing_of_odd_texts(spark, odd):
     check_packing(packing.pack(unique).collect(), dict(enumerate(TEXTS)))
     assert {r["doc_id"] for r in packing.pack(odd).collect()} == {*range(len(TEXTS)), None}
     assert packing.pack(odd.limit(0)).count() == 0
+    clash = odd.select("doc_id", "text", *[odd.fingerprint.alias(c) for c in ("seq", "shard", "key", "rest", "first", "many")])
+    assert packing.pack(clash).count() == packing.pack(odd).count()
 
 
 def test_encoder_equals_the_tokenizer():
@@ -163,18 +165,61 @@ def test_encoder_equals_the_tokenizer():
     t.encode_special_tokens = True
     texts = [x for x in TEXTS if x] + ["it's  two\n\n spaces ", "tab\there", "a \n b", "<|endoftext|> x", "don't\nwe'll 123abc !?", "\u00a0x\u2003y"]
     texts += [r["text"] for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
+    texts += ["a-b,c 1.5's x_y", "é, —, ü'll", " lead", "trail ", "a'sb 'tis rock'n'roll"]
     e = packing.Encoder(packing.default_ranks())
-    assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [x.tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def packed(ids, idf=None):
+    """Sequences of pack_shard, the weights and the lengths of its documents."""
+    term, tf, first = packing._counted([np.array(x, "<u2") for x in ids])
+    term, tf, of = term.astype(np.int64), tf.astype(np.int64), np.repeat(np.arange(len(ids)), np.diff(first))
+    n, df = len(ids), np.bincount(term, minlength=packing.VOCAB)
+    idf = np.log1p((n - df + 0.5) / (df + 0.5)) if idf is None else idf
+    left, mean = np.array([(len(x) + 1) % packing.WINDOW for x in ids]), tf.sum() / n
+    return packing.pack_shard(left, term, of, tf, idf, mean), [{t: c for t, c in zip(term[a:b].tolist(), tf[a:b].tolist(), strict=True)} for a, b in zip(first, first[1:], strict=False)], idf, left, mean
 
 
 def test_neighbours_fill_windows():
     """A seed's window takes the documents that share its rare terms."""
-    docs = [(np.array([7] * 50 + [100 + g] * 250 + [0], "<u2").tobytes(), b"") for g in (0, 1, 0, 1, 0, 1)]
-    idf = np.log1p(np.where(np.arange(packing.VOCAB) == 7, 0.01, 3.0))
-    first = packing.pack_shard(docs, idf, 300.0)[0]
+    docs = [[7] * 50 + [100 + g] * 250 for g in (0, 1, 0, 1, 0, 1)]
+    first = packed(docs, np.log1p(np.where(np.arange(packing.VOCAB) == 7, 0.01, 3.0)))[0][0]
     assert [d for d, _, _ in first] == [0, 2, 4, 1]
 
 
+@pytest.mark.parametrize("common, seeds", [(32, 128), (1, 3), (10**9, 1)])
+def test_neighbours_are_the_best_of_the_corpus(monkeypatch, common, seeds):
+    """Replays the windows of 1,000 documents: each seed had the most ids of all unused, each neighbour scores best of all unused, by a plain BM25."""
+    monkeypatch.setattr(packing, "COMMON", common)
+    monkeypatch.setattr(packing, "SEEDS", seeds)
+    e = packing.Encoder(packing.default_ranks())
+    ids = [x.tolist() for x in e.encode([r["text"] or "" for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()])]
+    sequences, terms, idf, left, mean = packed(ids)
+    postings = {}
+    for d, counts in enumerate(terms):
+        norm = packing.K1 * (1 - packing.B + packing.B * sum(counts.values()) / mean)
+        for t, c in counts.items():
+            postings.setdefault(t, []).append((d, c * (packing.K1 + 1) / (c + norm) * idf[t]))
+    full = [s for s in sequences if sum(p[2] for p in s) == packing.WINDOW]
+    assert len(full) > 100
+    was = left.copy()
+    for window in full:
+        seed = window[0][0]
+        assert was[seed] == was[left > 0].max() and window[0][2] == left[seed]
+        left[seed] = 0
+        scores = np.zeros(len(ids))
+        for t in terms[seed]:
+            for d, w in postings[t]:
+                scores[d] += w
+        for d, _, n in window[1:]:
+            assert left[d] and scores[d] >= scores[left > 0].max() - 1e-3
+            scores[d], left[d] = -1, left[d] - n
+
+
+def test_a_corpus_of_ten_thousand_is_one_shard():
+    assert packing._shards({k: 100 for k in range(100)}) == [(k, 0, 1) for k in range(100)]
+
+
 def test_neighbours_meet_across_the_corpus(spark, monkeypatch):
     """Documents about one thing lie far apart in the table, with many more shards than a window needs."""
     monkeypatch.setattr(packing, "SHARD_DOCS", 8)
@@ -187,7 +232,8 @@ def test_neighbours_meet_across_the_corpus(spark, monkeypatch):
     assert sum(len(set(x)) <= 2 for x in full) >= 0.8 * len(full)
 
 
-def test_shards_of_terms():
+def test_shards_of_terms(monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 512)
     assert packing._shards({1: 200, 2: 400, 3: 100, 4: 1200, 5: 1}) == [(1, 0, 1), (2, 1, 1), (3, 1, 1), (4, 2, 3), (5, 5, 1)]
 
 

@@ -17,23 +17,31 @@ def pieces():
 
 
 def brute(p, chars):
-    """All of the lattice, right to left."""
-    best = {len(chars): (0, ())}
+    """Score of the best path: all of the lattice, right to left."""
+    best = [0] * (len(chars) + 1)
     for a in range(len(chars) - 1, -1, -1):
-        raw = chars[a].encode()
-        options = [(S.BYTE_SCORE * len(raw) + best[a + 1][0], tuple(p.byte[b] for b in raw) + best[a + 1][1])]
-        for b in range(a + 1, min(len(chars), a + p.longest) + 1):
-            if (i := p.ids.get(chars[a:b])) is not None:
-                options.append((p.score[i] + best[b][0], (i, *best[b][1])))
-        best[a] = max(options, key=lambda o: o[0])
-    return best[0][0]
+        options = [p.score[i] + best[b] for b in range(a + 1, min(len(chars), a + p.longest) + 1) if (i := p.ids.get(chars[a:b])) is not None]
+        best[a] = max(options + ([] if chars[a] in p.ids else [p.unknown + best[a + 1]]))
+    return best[0]
 
 
-WORDS = ["", "a", " ", "  two  spaces ", "naïve Größe", "日本語 text", "\x00\ud7ff", "xqzjk" * 30, "a" * 300, "the " * 50, "line\nbreak\ttab"]
+WORDS = ["", "a", " ", "  two  spaces ", "naïve Größe", "日本語 text", "\x00\ud7ff", "xqzjk" * 30, "a" * 300, "the " * 50, "line\nbreak\ttab", "日本" * 200, "\n\n  x \n"]
+
+
+def path_score(p, ids):
+    """The score of ids; those of a character's bytes count once."""
+    out, left = 0, 0
+    for i in ids:
+        if i not in p.of_byte:
+            out += p.score[i]
+        elif left:
+            left -= 1
+        else:
+            out, left = out + p.unknown, max(0, f"{p.of_byte[i]:08b}".index("0") - 1)
+    return out
 
 
 def test_streaming_finds_the_best_path(pieces):
-    score = lambda ids: sum(S.BYTE_SCORE if i in pieces.of_byte else pieces.score[i] for i in ids)
     rng = random.Random(1)
     for text in WORDS[1:]:
         marked = S.MARK + text.replace(" ", S.MARK)
@@ -43,8 +51,33 @@ def test_streaming_finds_the_best_path(pieces):
             out += v.feed(marked[at : at + step])
             at += step
         out += v.finish()
-        assert score(out) == brute(pieces, marked) == score(S.encode(pieces, text)), text
-        assert out == S._best(pieces, marked)
+        assert path_score(pieces, out) == brute(pieces, marked) and out == S.encode(pieces, text), text
+
+
+def test_best_paths_of_documents(pieces, sf):
+    texts = [r["text"][:3000] for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()]
+    for text, ids in zip(texts, S.encode_many(pieces, texts), strict=True):
+        assert path_score(pieces, ids.tolist()) == brute(pieces, S.MARK + text.replace(" ", S.MARK))
+
+
+def test_ids_do_not_depend_on_neighbours_or_on_what_is_remembered(pieces, monkeypatch):
+    import orrery.llm.segments as G
+
+    want = [S.encode(pieces, t) for t in WORDS]
+    monkeypatch.setattr(G, "MEMO", 3)
+    monkeypatch.setattr(G, "BLOCK", 5)
+    monkeypatch.setattr(S, "groups", lambda sizes: G.groups(sizes, 40))
+    other = S.Pieces(S.default_model())
+    for _ in range(2):
+        assert [x.tolist() for x in S.encode_many(other, WORDS)] == want
+
+
+def test_model_scores_are_its_own(pieces):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=S.default_model())
+    assert all(pieces.score[i] == S.UNIT * sp.get_score(i) for i in pieces.ids.values())
+    assert [pieces.text[i] for i in S.encode(pieces, "a  b")] == [S.MARK + "a", S.MARK, S.MARK + "b"]
 
 
 def test_window_is_bounded(pieces):
@@ -56,6 +89,7 @@ def test_window_is_bounded(pieces):
 
 def test_round_trip(pieces):
     assert all(S.decode(pieces, S.encode(pieces, t)) == t for t in WORDS)
+    assert S.decode(pieces, S.encode(pieces, "a▁b")) == "a b"
 
 
 def test_encode_documents(spark):
@@ -63,6 +97,9 @@ def test_encode_documents(spark):
     got = sorted(((r["doc_id"] or -1), len(r["ids"])) for r in S.encode_documents(d).collect())
     assert got[1:3] == [(1, 0), (2, 0)] and got[3] == got[4] and got[0][0] == -1
     assert S.digest_documents(d).filter("not round_trip").count() == 0
+    assert S.digest_documents(spark.createDataFrame([(1, "a▁b")], "doc_id long, text string")).first()["round_trip"] is False
+    long = "long text of many words, " * 40_000
+    assert S.digest_documents(spark.createDataFrame([(1, long), (2, "x" * 200_000)], "doc_id long, text string")).filter("round_trip").count() == 2
     assert S.encode_documents(d.limit(0)).count() == 0
 
 
