@@ -12,11 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import stored
+from orrery.llm.fingerprint import shingle_hashes
 
 SHINGLE, SEED, BITS, BLOCKS, MAX_DIFF = 3, 42, 64, 4, 2
 #: Distinct fingerprints of one block value up to which all its pairs are compared; a fuller block is linked by midpoints.
 PAIRS_UP_TO = 64
 _CHUNK = 1 << 15
+#: Near-duplicates by shingles: words a shingle, least similarity, parts of the shingles that have blocks, mean shingles of a part at most.
+WORDS, SIMILARITY, PARTS, PART_SHINGLES = 5, 0.8, 32, 4
+#: Differing bits of whole fingerprints up to which a pair is verified: 5.7 standard errors above what SIMILARITY gives.
+FAR = 26
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -115,23 +120,160 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Null, empty or blank text: fingerprint zero, linked like any other. Equal fingerprints are one node, so copies are never
     paired. Repeated rows: each gets its row. Null doc_id: its component is the smallest id reachable, or null if it reaches
-    none. Ties: the smallest id. Empty table: no rows. Other columns are ignored.
+    none; links go through it. Ties: the smallest id. Empty table: no rows. Other columns are ignored.
     """
     fps = stored(fingerprints(docs, doc_id, text), "simhash")
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    found = components(links(nodes.filter("rep is not null")))
-    named = nodes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    named = stored(named, "simhash-named")
+    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-nodes")
+    found = components(links(nodes.select(F.col("fp").alias("rep"), "fp")))
+    named = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = stored(named.join(least, "component").select("fp", "component_id"), "simhash-named")
     return fps.join(named, "fp").select(F.col("doc_id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component stays, the one with the smallest id, with its columns as they were. Of rows with one id, one
-    stays. Rows without an id stay, as they can't be named."""
-    found = near_duplicates(docs, doc_id, text)
-    kept = stored(found.filter(F.col(doc_id) == F.col("component_id")).groupBy(F.col(doc_id).alias("__kept")).agg(F.count("*").alias("__n")), "simhash-kept")
-    repeats = bool(kept.filter("__n > 1").head(1))
+def _bits(h: np.ndarray) -> np.ndarray:
+    """A row of bits a hash."""
+    h = (h + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unpackbits((h ^ h >> np.uint64(29)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def _parts(n: int) -> int:
+    """Parts of n shingles: a power of two, PARTS at least."""
+    return max(PARTS, 1 << (int(n) // PART_SHINGLES).bit_length())
+
+
+def blocks(h: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Keys of the blocks of distinct shingle hashes.
+
+    A shingle's hash puts it in one of _parts(n) parts; a block is the SimHash of one of the first PARTS parts that hold any. Two
+    texts at `similarity` share blocks wherever a part holds none of the shingles that differ: each block with a probability of
+    0.4 at the least, all missed by less than 1e-6. Of texts at both sides of a power of two, the smaller has the larger one's blocks too.
+    """
+    out = []
+    for k in {_parts(len(h)), _parts(int(len(h) / similarity))}:
+        part = h % np.uint64(k)
+        near = part < PARTS
+        part, order = part[near], np.argsort(part[near], kind="stable")
+        if not len(order):
+            continue
+        which, first, n = np.unique(part[order], return_index=True, return_counts=True)
+        counts = np.add.reduceat(_bits(h[near][order]).astype(np.int32), first, axis=0)
+        value = np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        out.append((value ^ which * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(2 * k + 1))
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+
+
+def _sketches(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """A row a document: seq, doc_id, hash of the text, id of its set of shingles, their number, fingerprint, blocks and the
+    shingles themselves (sorted, 32 bits each)."""
+    own = docs.select(F.monotonically_increasing_id().alias("seq"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("told"), F.col(text).alias("text"))
+    kind = dict(own.dtypes)["doc_id"]
+    names = ["seq", "doc_id", "told", "set_id", "n", "fp", "keys", "shingles"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, n, fp, keys, kept = [], [], [], [], []
+            for t in b.column(3):
+                h = np.unique(shingle_hashes(t.as_py(), shingle))
+                counts = np.zeros(BITS, np.int64)
+                for at in range(0, len(h), _CHUNK):
+                    counts += _bits(h[at : at + _CHUNK]).sum(axis=0, dtype=np.int64)
+                ids.append(xxhash.xxh3_128_digest(h.astype("<u8").tobytes()))
+                n.append(len(h))
+                fp.append(int(np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0]))
+                keys.append(blocks(h, similarity))
+                kept.append(np.unique((h & np.uint64(0xFFFFFFFF)).astype("<u4")).tobytes())
+            cols = [b.column(0), b.column(1), b.column(2), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return own.mapInArrow(run, f"seq long, doc_id {kind}, told long, set_id binary, n long, fp long, keys array<long>, shingles binary")
+
+
+def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingles are as similar as that. shingles: (seq, shingles)."""
+    full = pairs.join(shingles.toDF("a", "sa"), "a").join(shingles.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return full.mapInArrow(run, "a long, b long")
+
+
+def _similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Verified links (a, b) between different sets. nodes: (seq, n, fp, keys, shingles).
+
+    All pairs of a block with up to PAIRS_UP_TO sets are verified. In a fuller one each set is put to one leader, the set with the most full
+    blocks: in a family of edits that is the text they come from. Those not as similar have their other blocks; if all of
+    a set's blocks are full and no leader was similar, it is compared with all of its smallest block. So a link is missed only
+    between sets that share full blocks alone, have links elsewhere and no leader in common that is similar to both.
+    """
+    far = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= FAR
+    sized = lambda x, y: (F.col(x) >= similarity * F.col(y) - 1e-9) & (F.col(y) >= similarity * F.col(x) - 1e-9)
+    keyed = nodes.select("seq", "n", "fp", F.explode("keys").alias("key"))
+    counts = stored(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "similar-blocks")
+    full = stored(keyed.join(counts, "key"), "similar-keys")
+    light = full.filter(F.col("m") <= PAIRS_UP_TO)
+    a, b = light.select("key", F.col("seq").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa")), light.select("key", F.col("seq").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb"))
+    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & sized("na", "nb") & far("fa", "fb")).select("a", "b")
+
+    heavy = stored(full.filter(F.col("m") > PAIRS_UP_TO), "similar-full")
+    some = bool(heavy.head(1))
+    if some:
+        central = heavy.groupBy("seq").agg(F.count("*").alias("c"))
+        leaders = heavy.join(central, "seq").groupBy("key").agg(F.max(F.struct("c", F.negative("seq").alias("s"), "n", "fp")).alias("l"))
+        leaders = stored(leaders.select("key", F.negative("l.s").alias("b"), F.col("l.n").alias("nb"), F.col("l.fp").alias("fb")), "similar-leaders")
+        stars = heavy.join(leaders, "key").filter((F.col("seq") != F.col("b")) & sized("n", "nb") & far("fp", "fb"))
+        pairs = pairs.unionByName(stars.select(F.least("seq", "b").alias("a"), F.greatest("seq", "b").alias("b")))
+    pairs = stored(pairs.distinct(), "similar-pairs")
+    needed = lambda p: stored(nodes.select("seq", "shingles").join(p.select(F.explode(F.array("a", "b")).alias("seq")).distinct(), "seq", "left_semi"), "similar-shingles")
+    found = stored(_verified(pairs, needed(pairs), similarity), "similar-links")
+    if not some:
+        return found
+    # sets without a link, all of whose blocks are full
+    linked = found.select(F.explode(F.array("a", "b")).alias("seq")).distinct()
+    alone = heavy.join(full.filter(F.col("m") <= PAIRS_UP_TO).select("seq").distinct(), "seq", "left_anti").join(linked, "seq", "left_anti").groupBy("seq").agg(F.min(F.struct("m", "key")).alias("s"))
+    rest = stored(alone.select(F.col("seq").alias("a"), F.col("s.key").alias("key")), "similar-alone")
+    if not rest.head(1):
+        return found
+    mine = heavy.select(F.col("seq").alias("a"), "key", F.col("n").alias("na"), F.col("fp").alias("fa")).join(rest, ["a", "key"])
+    more = mine.join(heavy.select(F.col("seq").alias("b"), "key", F.col("n").alias("nb"), F.col("fp").alias("fb")), "key").filter((F.col("a") != F.col("b")) & sized("na", "nb") & far("fa", "fb"))
+    more = stored(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-rest")
+    return found.unionByName(_verified(more, needed(more), similarity))
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """A row a document: doc_id, told (hash of the text), component (a number), of near-duplicates by word shingles: links join texts
+    whose sets of shingles have a Jaccard similarity of `similarity` or more, components what links reach.
+
+    Whole fingerprints differ in some ten bits at that similarity, too many for blocks of their bits. So the fingerprint is split by
+    shingles instead: each block is the SimHash of one part of them, and close texts share the blocks of parts that no edit
+    touched. Pairs that share a block are verified by the Hamming distance of whole fingerprints and then by the shingles.
+    Null or blank text: the empty set, equal to any other such. Fewer words than a shingle's make one. Equal sets are one node. Repeated
+    rows and null ids: rows of their own. Empty table: no rows. Other columns are ignored."""
+    rows = stored(_sketches(docs, doc_id, text, shingle, similarity), "similar")
+    first = stored(rows.groupBy("set_id").agg(F.min("seq").alias("node")), "similar-nodes")
+    nodes = rows.join(first.select(F.col("node").alias("seq")), "seq", "left_semi").select("seq", "n", "fp", "keys", "shingles")
+    found = components(_similar_pairs(nodes, similarity))
+    named = first.join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
+    named = stored(named, "similar-named")
+    return rows.select("doc_id", "told", "set_id").join(named, "set_id").select(F.col("doc_id").alias(doc_id), "told", "component")
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each component of similar_groups stays, the one with the smallest id (none if all lack one; of equal ids, the
+    smallest hash of the text), with its columns as they were. Equal rows of that document are one."""
+    found = similar_groups(docs, doc_id, text, shingle, similarity)
+    best = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("told").alias("told"))).alias("k")
+    kept = stored(found.groupBy("component").agg(best).select(F.col("k.id").alias("__id"), F.col("k.told").alias("__told")), "similar-kept")
     # by shuffle at every size: the kept ids grow with the documents
-    rest = docs.join(kept.select("__kept").hint("merge"), F.col(doc_id) == F.col("__kept"), "left_semi")
-    rest = rest.dropDuplicates([doc_id]) if repeats else rest
-    return rest.unionByName(docs.filter(F.col(doc_id).isNull()))
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__told"))
+    rest = docs.join(kept.hint("merge"), same, "left_semi")
+    repeated = found.groupBy(doc_id, "told").agg(F.count("*").alias("n")).filter("n > 1").head(1)
+    return rest.withColumn("__told", F.xxhash64(F.col(text))).dropDuplicates([doc_id, "__told"]).drop("__told") if repeated else rest

@@ -91,6 +91,90 @@ def test_keep_first(odd):
     assert sorted(i for i in ids if i is not None).count(5) == 1 and None in ids and 9 not in ids and 8 in ids and 6 not in ids
 
 
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_similar(texts):
+    """Components of texts (id to text) by all pairs of five-word shingle sets with a Jaccard similarity of 0.8 or more."""
+    sets, up = {i: shingle_set(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            x, y = sets[i], sets[j]
+            if x == y or 10 * len(x & y) >= 8 * len(x | y):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def families(rng):
+    """Texts with edits of many sizes, passages that many share, short and long ones."""
+    word = lambda: f"w{rng.randrange(3000)}"
+    passages = [[word() for _ in range(60)] for _ in range(3)]
+    texts = []
+    for size in (3, 5, 6, 12, 40, 90, 200, 700):
+        for _ in range(6):
+            base = [word() for _ in range(size)] + (rng.choice(passages) if rng.random() < 0.5 else [])
+            texts.append(" ".join(base))
+            for _ in range(4):
+                copy = list(base)
+                for _ in range(rng.randint(1, max(1, len(base) // 30))):
+                    at = rng.randrange(len(copy))
+                    copy[at : at + 1] = rng.choice(([], [word()], [copy[at], word()]))
+                texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("pairs_up_to", [64, 3])
+def test_similar_groups_by_brute_force(spark, monkeypatch, pairs_up_to):
+    """With pairs_up_to 3 most families fill their blocks and are linked by leaders."""
+    monkeypatch.setattr(simhash, "PAIRS_UP_TO", pairs_up_to)
+    texts = dict(enumerate(families(random.Random(11)) + [t or "" for t in TEXTS] + ["", " \n", "same text here"]))
+    want = brute_similar(texts)
+    d = spark.createDataFrame([(i, t, "c", i) for i, t in texts.items()], "doc_id long, text string, component string, seq long").repartition(5)
+    got = {}
+    for r in simhash.similar_groups(d).collect():
+        got.setdefault(r["component"], set()).add(r["doc_id"])
+    exact = {}
+    for i, c in want.items():
+        exact.setdefault(c, set()).add(i)
+    assert len(exact) < len(texts) - 80 and sorted(map(sorted, got.values())) == sorted(map(sorted, exact.values()))
+    assert {r["doc_id"] for r in simhash.keep_first(d).collect()} == set(exact)
+
+
+def test_blocks_are_shared_at_the_least_similarity():
+    """Sets of every size with a similarity of just 0.8: how many of 300 pairs share a block."""
+    rng = np.random.default_rng(4)
+    for n in (5, 9, 20, 33, 60, 100, 127, 128, 260, 1000, 4100):
+        missed = 0
+        for _ in range(300):
+            h = np.unique(rng.integers(0, 1 << 40, 2 * n, dtype=np.uint64))
+            rng.shuffle(h)
+            change = n // 9 if rng.random() < 0.5 else 0  # as many in each alone, or all in one
+            a, b = (h[:n], h[change : n + change]) if change else (h[:n], h[: n + n // 4])
+            missed += not len(np.intersect1d(simhash.blocks(np.sort(a)), simhash.blocks(np.sort(b))))
+        assert missed == 0, n
+
+
+def test_groups_without_ids_and_repeated_ids(spark):
+    one, two = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
+    d = spark.createDataFrame([(None, one, 1), (None, one, 1), (None, one + " more", 2), (3, two, 3), (3, one[:20], 4), (2, two.upper(), 5), (3, two, 3), (None, None, 6), (9, "", 7)], "doc_id long, text string, __x int")
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_first(d).collect()), key=repr)
+    assert len(kept) == 4 and kept[:3] == [(2, two.upper()), (3, one[:20]), (9, "")] and kept[3][0] is None  # 4 of 5 shingles are 0.8
+    # links go through a row without an id
+    a = "a b c d e f g h i j k l"
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame([(None, a), (5, a), (7, "z")], "doc_id long, text string")).collect()}
+    assert got == {None: 5, 5: 5, 7: 7}
+
+
 def test_edited_by_brute_force(spark, odd):
     unique = odd.filter("doc_id is not null").dropDuplicates(["doc_id"])
     got = {r["doc_id"]: r for r in fingerprint.edited(unique).collect()}
@@ -242,8 +326,7 @@ def test_pipeline_by_stages(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     ruled = {r["doc_id"] for r in quality_rules.ledger(docs).filter(quality_rules.passes()).collect()}
     judged = {r["doc_id"] for r in quality_classifier.classify(docs.filter(docs.doc_id.isin(list(ruled))), table(spark, sf, "labels")).filter("kept").collect()}
-    comp = brute_components({i: slow_simhash(texts[i]) for i in judged})
-    left = {i for i in judged if comp[i] == i}
+    left = set(brute_similar({i: texts[i] for i in judged}).values())
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in out} == left
     check_packing(out, {i: texts[i] for i in left})
