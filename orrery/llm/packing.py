@@ -288,7 +288,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str
     # a row a term: at most VOCAB
     keys = _keyed(rows.select("terms", "tf"), idf, mean_length, df)
     counts = {r["key"]: r["n"] for r in keys.groupBy("key").agg(F.count("*").alias("n")).collect()}
-    places = docs.sparkSession.createDataFrame(_shards(counts), "key int, first long, many long")
+    placed = _shards(counts)
+    places = docs.sparkSession.createDataFrame(placed, "key int, first long, many long")
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("seq")
@@ -314,4 +315,6 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str
     dealt = _keyed(rows, idf, mean_length, df).join(F.broadcast(places), "key").drop("key")
     dealt = dealt.withColumns({"shard": F.col("first") + F.pmod(F.xxhash64("seq"), F.col("many")), "doc_id": F.col("doc_id").cast("string")}).drop("first", "many")
     schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    # few shards a task, however many there are
+    dealt = dealt.repartition(2 * max((first + many for _, first, many in placed), default=1), "shard")
     return dealt.groupBy("shard").applyInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind)).withColumnRenamed("doc_id", doc_id)
