@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import stored
+from orrery.llm.common import lookup, stored
 from orrery.llm.fingerprint import shingle_hashes
 
 SHINGLE, SEED, BITS, BLOCKS, MAX_DIFF = 3, 42, 64, 4, 2
@@ -20,6 +20,8 @@ PAIRS_UP_TO = 64
 _CHUNK = 1 << 15
 #: Near-duplicates by shingles: words a shingle, least similarity, parts of the shingles that have blocks, mean shingles of a part at most.
 WORDS, SIMILARITY, PARTS, PART_SHINGLES = 5, 0.8, 32, 4
+#: Sets in a block up to which all its pairs are compared; a fuller one is linked through a leader.
+SMALL = 8
 #: Differing bits of whole fingerprints up to which a pair is verified: 5.7 standard errors above what SIMILARITY gives.
 FAR = 26
 
@@ -209,43 +211,42 @@ def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataF
 def _similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     """Verified links (a, b) between different sets. nodes: (seq, n, fp, keys, shingles).
 
-    All pairs of a block with up to PAIRS_UP_TO sets are verified. In a fuller one each set is put to one leader, the set with the most full
-    blocks: in a family of edits that is the text they come from. Those not as similar have their other blocks; if all of
-    a set's blocks are full and no leader was similar, it is compared with all of its smallest block. So a link is missed only
-    between sets that share full blocks alone, have links elsewhere and no leader in common that is similar to both.
+    All pairs of a block with up to SMALL sets are verified. In a fuller one each set is put to one leader, the set with the most full
+    blocks: in a family of edits that is the text they come from. So pairs grow with the blocks, not with their squares. Those not
+    similar to a leader have their other blocks; a set without a link that shares an eighth of its blocks or more, full ones
+    only, is compared with all of its smallest. So a link is missed only between sets that share no small block, have links elsewhere
+    and no leader similar to both. Joins that grow with the documents are by shuffle at every size.
     """
     far = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= FAR
     sized = lambda x, y: (F.col(x) >= similarity * F.col(y) - 1e-9) & (F.col(y) >= similarity * F.col(x) - 1e-9)
-    keyed = nodes.select("seq", "n", "fp", F.explode("keys").alias("key"))
+    keyed = nodes.select("seq", "n", "fp", F.size("keys").alias("of"), F.explode("keys").alias("key"))
     counts = stored(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "similar-blocks")
-    full = stored(keyed.join(counts, "key"), "similar-keys")
-    light = full.filter(F.col("m") <= PAIRS_UP_TO)
+    shared = stored(keyed.join(counts.hint("merge"), "key"), "similar-keys")
+    light = shared.filter(F.col("m") <= SMALL)
     a, b = light.select("key", F.col("seq").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa")), light.select("key", F.col("seq").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb"))
-    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & sized("na", "nb") & far("fa", "fb")).select("a", "b")
-
-    heavy = stored(full.filter(F.col("m") > PAIRS_UP_TO), "similar-full")
-    some = bool(heavy.head(1))
-    if some:
-        central = heavy.groupBy("seq").agg(F.count("*").alias("c"))
-        leaders = heavy.join(central, "seq").groupBy("key").agg(F.max(F.struct("c", F.negative("seq").alias("s"), "n", "fp")).alias("l"))
-        leaders = stored(leaders.select("key", F.negative("l.s").alias("b"), F.col("l.n").alias("nb"), F.col("l.fp").alias("fb")), "similar-leaders")
-        stars = heavy.join(leaders, "key").filter((F.col("seq") != F.col("b")) & sized("n", "nb") & far("fp", "fb"))
-        pairs = pairs.unionByName(stars.select(F.least("seq", "b").alias("a"), F.greatest("seq", "b").alias("b")))
-    pairs = stored(pairs.distinct(), "similar-pairs")
-    needed = lambda p: stored(nodes.select("seq", "shingles").join(p.select(F.explode(F.array("a", "b")).alias("seq")).distinct(), "seq", "left_semi"), "similar-shingles")
-    found = stored(_verified(pairs, needed(pairs), similarity), "similar-links")
-    if not some:
-        return found
-    # sets without a link, all of whose blocks are full
+    pairs = a.join(b.hint("merge"), "key").filter((F.col("a") < F.col("b")) & sized("na", "nb") & far("fa", "fb")).select("a", "b")
+
+    full = shared.filter(F.col("m") > SMALL)
+    central = stored(full.groupBy("seq").agg(F.count("*").alias("c")), "similar-central")
+    best = full.join(central.hint("merge"), "seq").groupBy("key").agg(F.max(F.struct("c", F.negative("seq").alias("s"), "n", "fp")).alias("l"))
+    leaders = stored(best.select("key", F.negative("l.s").alias("b"), F.col("l.n").alias("nb"), F.col("l.fp").alias("fb")), "similar-leaders")
+    stars = lookup(full, leaders, ["key"]).filter((F.col("seq") != F.col("b")) & sized("n", "nb") & far("fp", "fb"))
+    pairs = stored(pairs.unionByName(stars.select(F.col("seq").alias("a"), "b")).distinct(), "similar-pairs")
+
+    def verified(p: DataFrame) -> DataFrame:
+        needed = p.select(F.explode(F.array("a", "b")).alias("seq")).distinct()
+        return _verified(p, stored(nodes.select("seq", "shingles").join(needed.hint("merge"), "seq", "left_semi"), "similar-shingles"), similarity)
+
+    found = stored(verified(pairs), "similar-links")
     linked = found.select(F.explode(F.array("a", "b")).alias("seq")).distinct()
-    alone = heavy.join(full.filter(F.col("m") <= PAIRS_UP_TO).select("seq").distinct(), "seq", "left_anti").join(linked, "seq", "left_anti").groupBy("seq").agg(F.min(F.struct("m", "key")).alias("s"))
-    rest = stored(alone.select(F.col("seq").alias("a"), F.col("s.key").alias("key")), "similar-alone")
+    alone = full.join(light.select("seq").distinct().hint("merge"), "seq", "left_anti").join(linked.hint("merge"), "seq", "left_anti")
+    alone = alone.groupBy("seq").agg(F.min(F.struct("m", "key")).alias("s"), F.count("*").alias("c"), F.first("of").alias("of"), F.first("n").alias("na"), F.first("fp").alias("fa"))
+    rest = stored(alone.filter("8 * c >= of").select(F.col("seq").alias("a"), F.col("s.key").alias("key"), "na", "fa"), "similar-alone")
     if not rest.head(1):
         return found
-    mine = heavy.select(F.col("seq").alias("a"), "key", F.col("n").alias("na"), F.col("fp").alias("fa")).join(rest, ["a", "key"])
-    more = mine.join(heavy.select(F.col("seq").alias("b"), "key", F.col("n").alias("nb"), F.col("fp").alias("fb")), "key").filter((F.col("a") != F.col("b")) & sized("na", "nb") & far("fa", "fb"))
-    more = stored(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-rest")
-    return found.unionByName(_verified(more, needed(more), similarity))
+    more = rest.join(full.select(F.col("seq").alias("b"), "key", F.col("n").alias("nb"), F.col("fp").alias("fb")), "key").filter((F.col("a") != F.col("b")) & sized("na", "nb") & far("fa", "fb"))
+    more = stored(more.select("a", "b").distinct(), "similar-rest")
+    return found.unionByName(verified(more))
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -259,7 +260,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows and null ids: rows of their own. Empty table: no rows. Other columns are ignored."""
     rows = stored(_sketches(docs, doc_id, text, shingle, similarity), "similar")
     first = stored(rows.groupBy("set_id").agg(F.min("seq").alias("node")), "similar-nodes")
-    nodes = rows.join(first.select(F.col("node").alias("seq")), "seq", "left_semi").select("seq", "n", "fp", "keys", "shingles")
+    nodes = rows.join(first.select(F.col("node").alias("seq")).hint("merge"), "seq", "left_semi").select("seq", "n", "fp", "keys", "shingles")
     found = components(_similar_pairs(nodes, similarity))
     named = first.join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     named = stored(named, "similar-named")

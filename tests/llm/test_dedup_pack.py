@@ -124,7 +124,7 @@ def families(rng):
         for _ in range(6):
             base = [word() for _ in range(size)] + (rng.choice(passages) if rng.random() < 0.5 else [])
             texts.append(" ".join(base))
-            for _ in range(4):
+            for _ in range(rng.choice((4, 4, 12))):
                 copy = list(base)
                 for _ in range(rng.randint(1, max(1, len(base) // 30))):
                     at = rng.randrange(len(copy))
@@ -133,10 +133,10 @@ def families(rng):
     return texts
 
 
-@pytest.mark.parametrize("pairs_up_to", [64, 3])
-def test_similar_groups_by_brute_force(spark, monkeypatch, pairs_up_to):
-    """With pairs_up_to 3 most families fill their blocks and are linked by leaders."""
-    monkeypatch.setattr(simhash, "PAIRS_UP_TO", pairs_up_to)
+@pytest.mark.parametrize("small", [8, 4])
+def test_similar_groups_by_brute_force(spark, monkeypatch, small):
+    """Families fill blocks of more than `small`, which are linked through leaders."""
+    monkeypatch.setattr(simhash, "SMALL", small)
     texts = dict(enumerate(families(random.Random(11)) + [t or "" for t in TEXTS] + ["", " \n", "same text here"]))
     want = brute_similar(texts)
     d = spark.createDataFrame([(i, t, "c", i) for i, t in texts.items()], "doc_id long, text string, component string, seq long").repartition(5)
