@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,9 +51,11 @@ _TAGS = ("#text", "p", "h1", "h2", "h3", "li", "ul", "ol", "div", "section", "ar
 _TAG = {t: i for i, t in enumerate(_TAGS)}
 #: Ancestors a node knows of.
 _ABOVE = ("article", "main", "nav", "header", "footer", "aside", "form")
-_TOKEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*)>?)", re.S)
-_ATTR = re.compile(r"([^\s=/\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TOKEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)>?)", re.S)
+_ATTR = re.compile(r"([^\s=/\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _SPLIT = re.compile(r"[^a-z]+")
+#: A block's end tag reaches no further than these.
+_CELLS = ("table", "td", "th", "template")
 _HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 
 
@@ -99,6 +102,8 @@ def parse(page: str | None) -> list[Node]:
     page = page or ""
     nodes = [Node("html", -1, 0, 0)]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements; an inline one has its block's node
+    places: dict[str, list[int]] = {}  # of open elements in the stack, by name, and of open blocks
+    tops: list[int] = []
     run, link, at, end = -1, 0, 0, len(page)
 
     def add(tag: str, attrs: str = "") -> int:
@@ -128,10 +133,22 @@ def parse(page: str | None) -> list[Node]:
             n.links += size if link else 0
             n.marks += s.count(",") + s.count(".")
 
+    def push(name: str, node: int) -> None:
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCKS:
+            tops.append(len(stack))
+        stack.append((name, node))
+
+    def last(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
     def close(to: int) -> None:
         nonlocal run, link
-        for name, _ in stack[to:]:
+        for name, _ in reversed(stack[to:]):
+            places[name].pop()
             link -= name == "a"
+            if name in BLOCKS:
+                tops.pop()
             if name in BLOCKS or name in MUTE:
                 run = -1
         del stack[to:]
@@ -149,13 +166,9 @@ def parse(page: str | None) -> list[Node]:
             continue
         name = name.lower()
         if m[1]:
-            block = name in BLOCKS
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-                if stack[i][0] in (BLOCKS if not block else ("table", "td", "th", "template")):
-                    break
+            i, barrier = last((name,)), last(_CELLS) if name in BLOCKS else tops[-1] if tops else 0
+            if i and i >= barrier:
+                close(i)
             continue
         nodes[stack[-1][1]].tags += 1
         if name in RAW:
@@ -172,27 +185,26 @@ def parse(page: str | None) -> list[Node]:
                 nodes[0].good, nodes[0].bad, _ = _tokens(m[3])
                 continue
             rule = IMPLIED.get(name)
-            for i in range(len(stack) - 1, 0, -1):
-                name_open = stack[i][0]
-                if name_open == "p" or (rule and name_open in rule[0]) or (name == "body" and name_open == "head"):
-                    close(i)
-                    if not rule:
-                        break
-                elif name_open in (rule[1] if rule else BLOCKS):
-                    break
+            if rule:
+                barrier = last(rule[1])
+                found = [at[k] for at in (places.get(n, ()) for n in (*rule[0], "p")) if (k := bisect(at, barrier)) < len(at)]
+                if found:
+                    close(min(found))
+            elif tops and stack[tops[-1]][0] in (("p", "head") if name == "body" else ("p",)):
+                close(tops[-1])
             if name in VOID:
                 continue
-            stack.append((name, add(name, m[3])))
+            push(name, add(name, m[3]))
             nodes[stack[-1][1]].mute |= name in MUTE
         elif name not in VOID:
             if name in MUTE:
                 if m[3].endswith("/"):
                     continue
                 run = -1
-                stack.append((name, i := add(name, m[3])))
+                push(name, i := add(name, m[3]))
                 nodes[i].mute = True
             else:
-                stack.append((name, stack[-1][1]))
+                push(name, stack[-1][1])
                 link += name == "a"
     for i in range(len(nodes) - 1, 0, -1):
         n, p = nodes[i], nodes[nodes[i].parent]
