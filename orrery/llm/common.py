@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.functions.stage import shared_dir, stored  # noqa: F401
+
 #: ASCII white space that separates words everywhere in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,33 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
-        known = tempfile.mkdtemp(prefix="orrery-")
-        spark.sparkContext.setCheckpointDir(known)
-    return known
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone already; the folder then stays to its owner
-        pass
-
-
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
     """left outer join to a table with one row a key. right is broadcast only if its counted rows are at most BROADCAST_ROWS;
     else both sides are shuffled by key and salt, so that a key with a third of the rows spreads over SALTS tasks.

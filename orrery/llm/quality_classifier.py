@@ -7,11 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import SPACES, lookup, stored
+from orrery.llm.url_filter import strength
 
 #: Labelled documents that the fit takes at most, by hash of the id.
 SAMPLE = 20_000
-#: Documents a site's prior weighs, at host level towards all, at path level towards the host.
-HOST_WEIGHT, PATH_WEIGHT = 20.0, 20.0
 #: Probability of good quality from which a document is kept.
 KEEP = 0.5
 RIDGE, STEPS = 1e-3, 40
@@ -58,7 +57,8 @@ def classify(
     """A row a document: the columns of `carry` (default doc_id), then doc_score, host_mean, path_mean, score, kept.
 
     doc_score is the classifier's probability of good quality from the text. host_mean is the posterior share of good labels of
-    the host, shrunk to that of all; path_mean that of the host's path, shrunk to the host's. score joins the document's evidence
+    the host, shrunk to that of all; path_mean that of the host's path, shrunk to the host's. How strongly is estimated at each level by
+    moments: the less sites differ beyond chance, the more. A labelled document's own label counts in its sites. score joins the document's evidence
     (its log odds less those of all labels) to the path's log odds. Label counts are aggregated by path first, so a host with
     most documents is no group of rows anywhere.
 
@@ -76,13 +76,17 @@ def classify(
     share = (good + 1) / (n + 2)
 
     few = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE))  # at most SAMPLE rows
-    rows = seen.join(few, "id").select("id", evidence(F.col("text")).alias("x"), "y").select("id", "x.*", "y").toPandas().sort_values("id")
+    rows = seen.join(few, "id").select("id", F.xxhash64("text").alias("h"), evidence(F.col("text")).alias("x"), "y")
+    # a row an id, that of the smallest hash of its texts
+    rows = rows.groupBy("id").agg(F.min(F.struct("h", "x", "y")).alias("r")).select("id", "r.x.*", "r.y").toPandas().sort_values("id")
     x, y = rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float)
     mean, scale, w = fit(x, y) if 0 < y.sum() < len(y) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.append(np.log(share / (1 - share)), np.zeros(len(FEATURES))))
 
     hosts = sites.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hg"))
-    host_mean = (F.col("hg") + HOST_WEIGHT * share) / (F.col("hn") + HOST_WEIGHT)
-    path_mean = (F.col("good") + PATH_WEIGHT * F.col("host_mean")) / (F.col("n") + PATH_WEIGHT)
+    host_weight = strength(hosts.select(F.col("hn").alias("n"), F.col("hg").alias("bad"))).first()["k"]
+    path_weight = strength(sites.select("n", F.col("good").alias("bad"))).first()["k"]
+    host_mean = (F.col("hg") + host_weight * share) / (F.col("hn") + host_weight)
+    path_mean = (F.col("good") + path_weight * F.col("host_mean")) / (F.col("n") + path_weight)
     hosts = stored(hosts.select(F.col("host").alias("__host"), host_mean.alias("host_mean")), "quality-hosts")
     paths = sites.join(hosts, F.col("host") == F.col("__host")).select(F.col("host").alias("__host"), F.col("path").alias("__path"), path_mean.alias("path_mean"))
     paths = stored(paths, "quality-paths")
@@ -103,7 +107,7 @@ def classify(
     return own.select("__own.*", "doc_score", "host_mean", "path_mean", "score", (F.col("score") >= KEEP).alias("kept"))
 
 
-def keep(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", label: str = "quality") -> DataFrame:
     """The rows that the classifier keeps, with their columns as they were."""
-    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`{c}`") for c in ("doc_id", "text", "source", "lang")])
-    return classify(wrapped, labels, carry=["row"], **names).filter("kept").select("row.*")
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`{c}`") for c in dict.fromkeys((doc_id, text, host, path))])
+    return classify(wrapped, labels, doc_id, text, host, path, label, carry=["row"]).filter("kept").select("row.*")

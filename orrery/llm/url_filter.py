@@ -46,7 +46,7 @@ def site_levels(host: Column) -> tuple[Column, Column, Column]:
     return bare, F.when(two, last(3)).otherwise(last(2)), F.when(two, last(2)).otherwise(last(1))
 
 
-def _strength(groups: DataFrame) -> DataFrame:
+def strength(groups: DataFrame) -> DataFrame:
     """One row: the beta prior's strength by moments of the groups' (n, bad), and the overall mean."""
     s = groups.agg(
         F.count("*").cast("double").alias("g"),
@@ -70,7 +70,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     out, above = sites, None
     for level in ("suffix", "domain", "site"):
         groups = sites.groupBy(level).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        prior = _strength(groups).withColumnsRenamed({"mean": "mean0", "k": f"k_{level}"})  # one row, so broadcast
+        prior = strength(groups).withColumnsRenamed({"mean": "mean0", "k": f"k_{level}"})  # one row, so broadcast
         sums = groups.withColumnsRenamed({"n": f"n_{level}", "bad": f"bad_{level}"})
         out = out.join(sums, level).join(F.broadcast(prior if above is None else prior.drop("mean0")))
         parent = F.col("mean0") if above is None else F.col(f"mean_{above}")

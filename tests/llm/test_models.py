@@ -197,6 +197,46 @@ def test_sparse_sites_shrink(spark):
     assert quality_classifier.keep(docs, labels).columns == docs.columns
 
 
+def test_posteriors_by_hand(spark):
+    """host_mean and path_mean against plain sums, with the strengths by moments; other column names and repeated ids."""
+    rng = random.Random(2)
+    rows = [(i, f"text {i % 9} with some words {i}", f"h{rng.randrange(6)}", f"p{rng.randrange(3)}") for i in range(600)]
+    good = {i: int(rng.random() < (0.9 if rows[i][2] in ("h0", "h1") else 0.4)) for i in range(0, 600, 2)}
+    docs = spark.createDataFrame(rows + [(0, "another text of the id", rows[0][2], rows[0][3])], "key long, body string, site string, part string")
+    labels = spark.createDataFrame(list(good.items()), "key long, good int")
+    names = {"doc_id": "key", "text": "body", "host": "site", "path": "part", "label": "good"}
+    got = {r["key"]: r for r in quality_classifier.classify(docs, labels, **names).collect()}
+    sites = {}
+    for i, _, h, p in [*rows, (0, "", rows[0][2], rows[0][3])]:
+        if i in good:
+            for at in ((h,), (h, p)):
+                n, g = sites.get(at, (0, 0))
+                sites[at] = n + 1, g + good[i]
+
+    def weight(groups):
+        n, g = sum(n for n, _ in groups), sum(g for _, g in groups)
+        p = (g + 1) / (n + 2)
+        v, extra = p * (1 - p), n - sum(k * k for k, _ in groups) / n - (len(groups) - 1)
+        rho = (sum(k * (y / k - p) ** 2 for k, y in groups) - v * (len(groups) - 1)) / (v * extra)
+        return 1000.0 if rho <= 0 else min(1000.0, max(1.0, 1 / rho - 1)), (g + 1) / (n + 2)
+
+    hk, share = weight([x for at, x in sites.items() if len(at) == 1])
+    pk, _ = weight([x for at, x in sites.items() if len(at) == 2])
+    assert 1 < hk < 1000
+    for i, _, h, p in rows:
+        n, g = sites[h,]
+        mean = (g + hk * share) / (n + hk)
+        n, g = sites.get((h, p), (0, 0))
+        assert abs(got[i]["host_mean"] - mean) < 1e-9 and abs(got[i]["path_mean"] - (g + pk * mean) / (n + pk)) < 1e-9
+    assert quality_classifier.keep(docs, labels, **names).columns == docs.columns
+
+
+def test_classifier_on_long_texts(spark):
+    docs = spark.createDataFrame([(i, "word " * (300_000 if i == 3 else 60), "s", "en") for i in range(8)], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    assert quality_classifier.classify(docs, labels).filter("score is not null").count() == 8
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
