@@ -11,19 +11,22 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where none is set, as in tests."""
+    """spark.checkpoint.dir; a temporary folder only where none is set and all runs on this machine, as in tests."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         known = tempfile.mkdtemp(prefix="orrery-")
         spark.sparkContext.setCheckpointDir(known)
     return known
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: loops over it don't repeat its plan, and lost executors cost nothing."""
+def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: loops over it don't repeat its plan, and lost executors cost nothing.
+    by: a column whose values get a folder each."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -80,19 +80,22 @@ def content_dedup(rows: DataFrame, content: str, order: str) -> DataFrame:
 
 
 def replay(mutations: DataFrame, applied: int, target: int) -> DataFrame:
-    """Checks an ordered replay, a row a mutation (sequence, mutation_id, hash): apply, duplicate (same id and hash again), conflict (same id or
-    sequence, other content), gap (the one before is missing) or beyond (the target). A sequence's or id's first row is the reference."""
+    """Checks an ordered replay, a row a mutation (sequence, mutation_id, hash, arrival): beyond (the target), gap (after the first
+    sequence that is missing from applied + 1 on: each must follow the one applied before, so all after a hole are held back),
+    duplicate (same id and hash again), conflict (same sequence, other content), already_applied or apply. A sequence's first row
+    is the reference. The hole is found by a join of the sequences on the number before and one aggregate."""
     by_seq = mutations.groupBy("sequence").agg(F.min(F.struct("arrival", "mutation_id", "hash")).alias("f"))
     firsts = by_seq.select("sequence", F.col("f.mutation_id").alias("first_id"), F.col("f.hash").alias("first_hash"), F.col("f.arrival").alias("first_arrival"))
-    # a gap: the previous sequence is absent; a self join on sequence + 1, no global window
-    prev = firsts.select((F.col("sequence") + 1).alias("sequence"), F.lit(True).alias("has_prev"))
-    own = mutations.join(firsts, "sequence").join(prev, "sequence", "left")
+    after = firsts.filter(F.col("sequence") > applied).select((F.col("sequence") + 1).alias("sequence"))
+    after = after.unionByName(mutations.sparkSession.range(1).select(F.lit(applied + 1).cast("long").alias("sequence")))
+    hole = after.join(firsts.select("sequence"), "sequence", "left_anti").agg(F.min("sequence").alias("hole"))
+    own = mutations.join(firsts, "sequence").crossJoin(F.broadcast(hole))  # one row
     status = (
         F.when(F.col("sequence") > target, "beyond")
+        .when(F.col("sequence") > F.col("hole"), "gap")
         .when((F.col("arrival") != F.col("first_arrival")) & (F.col("mutation_id") == F.col("first_id")) & (F.col("hash") == F.col("first_hash")), "duplicate")
         .when(F.col("arrival") != F.col("first_arrival"), "conflict")
         .when(F.col("sequence") <= applied, "already_applied")
-        .when(F.col("has_prev").isNull() & (F.col("sequence") != applied + 1), "gap")
         .otherwise("apply")
     )
     return own.select("sequence", "mutation_id", status.alias("status"))

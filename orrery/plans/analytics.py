@@ -23,7 +23,7 @@ def hits(spark, sf, k=20):
 
 def relevant(spark, sf):
     v = t(spark, sf, "embeddings")
-    q = v.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), "label")
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label")
     return v.join(F.broadcast(q), "label").select("qid", F.col("vec_id").alias("id"), (1 + F.col("vec_id") % 3).alias("grade"))
 
 
@@ -152,7 +152,7 @@ def ledger_heads(spark, sf):
 _PT = r"list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+'), lambda x: strlen(x) <= 256), lambda x: lower(x))"
 
 
-@query(f"""WITH c AS (SELECT conv_id AS qid, turn AS id, text FROM conversations WHERE conv_id < 40), q AS (SELECT qid, array_to_string(string_split(text, ' ')[1:6], ' ') AS text FROM c WHERE id = 0),
+@query(f"""WITH c AS (SELECT conv_id AS qid, turn AS id, text FROM conversations), q AS (SELECT qid, array_to_string(string_split(text, ' ')[1:6], ' ') AS text FROM c WHERE id = 0),
 d AS (SELECT qid, id, {_PT} AS toks FROM c), st AS (SELECT qid, count(*) AS n, avg(len(toks)) AS avgdl FROM d GROUP BY qid),
 qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({_PT}) AS term FROM q) GROUP BY ALL), tf AS (SELECT qid, id, term, len(toks) AS dl, count(*) AS tf FROM (SELECT qid, id, toks, unnest(toks) AS term FROM d) GROUP BY ALL),
 df AS (SELECT qid, term, count(*) AS df FROM tf GROUP BY ALL),
@@ -161,7 +161,7 @@ r AS (SELECT c.qid, c.id, coalesce(lex > 0, false) AS ok, CASE WHEN coalesce(lex
 SELECT qid, id, score, CASE WHEN ok THEN row_number() OVER (PARTITION BY qid ORDER BY ok DESC, score DESC, id::VARCHAR)::INTEGER END AS rank,
   CASE WHEN ok THEN 'ADMITTED_TO_BOUNDED_POOL,LEXICAL_MATCH,RANKED_CANDIDATE' ELSE 'ADMITTED_TO_BOUNDED_POOL,EXCLUDED_NO_LEXICAL_MATCH' END AS codes FROM r""")
 def ledger_recall(spark, sf):
-    c = t(spark, sf, "conversations").filter("conv_id < 40").select(F.col("conv_id").alias("qid"), F.col("turn").alias("id"), "text")
+    c = t(spark, sf, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("id"), "text")
     q = c.filter("id = 0").select("qid", F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("text"))
     out = ledger.recall(lexical.pool_bm25(c, q), c.select("qid", "id", (F.col("id") + 1).alias("sequence")), 10)
     return out.withColumn("codes", F.array_join("codes", ","))
@@ -199,17 +199,17 @@ def ledger_delete_closure(spark, sf):
     return ledger.deletion_closure(d, spark.range(1, 2).select("id"))
 
 
-@query("""WITH o AS (SELECT event_id AS ordinal, 'k' || (user_id % 40) AS key, event_type AS content FROM events WHERE event_id < 500), h AS (SELECT 'k' || i AS key, 'h' || i AS head_id, CASE WHEN i % 2 = 0 THEN 'view' ELSE 'click' END AS hc FROM range(30) AS r(i))
+@query("""WITH o AS (SELECT event_id AS ordinal, 'k' || (user_id % 40) AS key, event_type AS content FROM events), h AS (SELECT 'k' || i AS key, 'h' || i AS head_id, CASE WHEN i % 2 = 0 THEN 'view' ELSE 'click' END AS hc FROM range(30) AS r(i))
 SELECT ordinal, o.key, content, coalesce(head_id, '') AS expected, CASE WHEN head_id IS NULL THEN 'new' WHEN hc = content THEN 'duplicate' ELSE 'contradiction' END AS relation FROM o LEFT JOIN h USING (key)""")
 def ledger_observations(spark, sf):
-    o = t(spark, sf, "events").filter("event_id < 500").select(F.col("event_id").alias("ordinal"), F.concat(F.lit("k"), F.col("user_id") % 40).alias("key"), F.col("event_type").alias("content"))
+    o = t(spark, sf, "events").select(F.col("event_id").alias("ordinal"), F.concat(F.lit("k"), F.col("user_id") % 40).alias("key"), F.col("event_type").alias("content"))
     h = spark.range(30).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("head_id"), F.when(F.col("id") % 2 == 0, "view").otherwise("click").alias("head_content"))
     return ledger.observations(o, h).withColumn("expected", F.array_join("expected", ","))
 
 
-@query("WITH p AS (SELECT event_type AS stream, user_id % 4 AS proj, max(event_id) AS applied FROM events WHERE event_id < 900 GROUP BY ALL) SELECT stream, min(applied) AS visible, max(applied) - min(applied) AS lag FROM p GROUP BY stream")
+@query("WITH p AS (SELECT event_type AS stream, user_id % 4 AS proj, max(event_id) AS applied FROM events GROUP BY ALL) SELECT stream, min(applied) AS visible, max(applied) - min(applied) AS lag FROM p GROUP BY stream")
 def ledger_visibility(spark, sf):
-    p = t(spark, sf, "events").filter("event_id < 900").groupBy(F.col("event_type").alias("stream"), F.col("user_id") % 4).agg(F.max("event_id").alias("applied"))
+    p = t(spark, sf, "events").groupBy(F.col("event_type").alias("stream"), F.col("user_id") % 4).agg(F.max("event_id").alias("applied"))
     return ledger.visibility(p)
 
 
@@ -222,31 +222,35 @@ def wal_last_write(spark, sf):
     return mutations.latest(e, "id", "lsn").select("id", "lsn", "value")
 
 
-@query("WITH m AS (SELECT event_id AS arrival, CASE WHEN event_id % 10 = 9 THEN event_id - 1 ELSE event_id END AS s, event_id % 20 AS r FROM events WHERE event_id < 400 AND event_id % 50 <> 25) SELECT s AS sequence, CASE WHEN r = 9 THEN 'x' || arrival ELSE 'm' || s END AS mutation_id, CASE WHEN s > 350 THEN 'beyond' WHEN arrival > s AND r <> 9 THEN 'duplicate' WHEN arrival > s THEN 'conflict' WHEN s <= 20 THEN 'already_applied' WHEN s % 10 = 0 OR s % 50 = 26 THEN 'gap' ELSE 'apply' END AS status FROM m")
+@query("""WITH m AS (SELECT event_id AS arrival, 9 * (event_id // 10) + least(event_id % 10, 8) AS s, event_id % 20 AS r FROM events WHERE event_id <> 525),
+hole AS (SELECT min(g) AS hole FROM generate_series(21, (SELECT max(s) + 1 FROM m)) AS x(g) WHERE g NOT IN (SELECT s FROM m))
+SELECT s AS sequence, CASE WHEN r = 9 THEN 'x' || arrival ELSE 'm' || s END AS mutation_id,
+  CASE WHEN s > 800 THEN 'beyond' WHEN s > hole THEN 'gap' WHEN r = 19 THEN 'duplicate' WHEN r = 9 THEN 'conflict' WHEN s <= 20 THEN 'already_applied' ELSE 'apply' END AS status FROM m, hole""")
 def mutation_replay(spark, sf):
-    e = t(spark, sf, "events").filter("event_id < 400 and event_id % 50 <> 25")
-    s = F.when(F.col("event_id") % 10 == 9, F.col("event_id") - 1).otherwise(F.col("event_id"))
-    bad = F.col("event_id") % 20 == 9
-    m = e.select(s.alias("sequence"), F.when(bad, F.concat(F.lit("x"), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("m"), s.cast("string"))).alias("mutation_id"), F.concat(F.lit("h"), s.cast("string")).alias("hash"), F.col("event_id").alias("arrival"))
-    return mutations.replay(m, 20, 350)
+    """Every tenth event repeats the sequence before it, in turn with its content or another; one sequence is missing."""
+    e, i = t(spark, sf, "events").filter("event_id <> 525"), F.col("event_id")
+    s = (F.floor(i / 10) * 9 + F.least(i % 10, F.lit(8))).cast("long")
+    name = F.when(i % 20 == 9, F.concat(F.lit("x"), i.cast("string"))).otherwise(F.concat(F.lit("m"), s.cast("string")))
+    m = e.select(s.alias("sequence"), name.alias("mutation_id"), F.concat(F.lit("h"), s.cast("string")).alias("hash"), i.alias("arrival"))
+    return mutations.replay(m, 20, 800)
 
 
-@query("WITH b AS (SELECT 'b' || (event_id % 990) AS id, event_id FROM events WHERE event_id < 1000) SELECT count(*) FILTER (dup > 1) AS repeated, count(*) AS n FROM (SELECT id, count(*) OVER (PARTITION BY id) AS dup FROM b)")
+@query("WITH b AS (SELECT 'b' || (event_id % 990) AS id, event_id FROM events) SELECT count(*) FILTER (dup > 1) AS repeated, count(*) AS n FROM (SELECT id, count(*) OVER (PARTITION BY id) AS dup FROM b)")
 def batch_duplicates(spark, sf):
-    b = t(spark, sf, "events").filter("event_id < 1000").select(F.concat(F.lit("b"), F.col("event_id") % 990).alias("id"))
+    b = t(spark, sf, "events").select(F.concat(F.lit("b"), F.col("event_id") % 990).alias("id"))
     return b.groupBy("id").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0)).alias("repeated"), F.sum("c").alias("n"))
 
 
-@query("SELECT CASE WHEN vec_id % 11 = 0 THEN '' ELSE 'v' || vec_id END AS id, CASE WHEN (SELECT count(*) FROM embeddings WHERE vec_id % 11 = 0 AND vec_id < 100) > 1 THEN 'rejected_duplicate' ELSE 'ok' END AS status FROM embeddings WHERE vec_id < 100")
+@query("SELECT CASE WHEN vec_id % 11 = 0 THEN '' ELSE 'v' || vec_id END AS id, CASE WHEN (SELECT count(*) FROM embeddings WHERE vec_id % 11 = 0) > 1 THEN 'rejected_duplicate' ELSE 'ok' END AS status FROM embeddings")
 def batch_rejected(spark, sf):
-    v = t(spark, sf, "embeddings").filter("vec_id < 100").select(F.when(F.col("vec_id") % 11 == 0, "").otherwise(F.concat(F.lit("v"), F.col("vec_id").cast("string"))).alias("id"), F.col("embedding").alias("vec"))
+    v = t(spark, sf, "embeddings").select(F.when(F.col("vec_id") % 11 == 0, "").otherwise(F.concat(F.lit("v"), F.col("vec_id").cast("string"))).alias("id"), F.col("embedding").alias("vec"))
     return mutations.batch_check(v, 64)
 
 
-@query("SELECT 'v' || vec_id AS id, CASE WHEN vec_id % 9 = 0 THEN 'failed' ELSE 'ok' END AS status FROM embeddings WHERE vec_id < 100")
+@query("SELECT 'v' || vec_id AS id, CASE WHEN vec_id % 9 = 0 THEN 'failed' ELSE 'ok' END AS status FROM embeddings")
 def batch_failed(spark, sf):
     vec = F.when(F.col("vec_id") % 9 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
-    return mutations.batch_check(t(spark, sf, "embeddings").filter("vec_id < 100").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"), vec.alias("vec")), 64)
+    return mutations.batch_check(t(spark, sf, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"), vec.alias("vec")), 64)
 
 
 @query("SELECT i AS id, CASE WHEN i >= (SELECT count(*) FROM customer) THEN 'not_found' WHEN i % 5 = 0 THEN 'already_deleted' ELSE 'deleted' END AS status FROM range(0, 3000, 7) AS r(i)")

@@ -8,7 +8,7 @@ from orrery.functions.stage import micros
 from orrery.functions.text import contextualize, estimate_tokens, render, sql_estimate
 from orrery.operators import graph, lexical, pack
 from orrery.plans.base import Registry, t
-from orrery.plans.retrieval import _LEX, text_queries
+from orrery.plans.retrieval import _LEX, index, text_queries
 
 query = Registry()
 
@@ -169,16 +169,16 @@ SELECT h.qid, id, rank, cost, used, n AS position FROM k JOIN h ON h.qid = k.qid
 @query(_PACK)
 def pack_greedy(spark, sf):
     d = t(spark, sf, "documents")
-    return pack.token_pack(lexical.bm25(d, text_queries(spark, sf), 20), d.select(F.col("doc_id").alias("id"), "text"), 3000)
+    return pack.token_pack(lexical.search(index(spark, sf), text_queries(spark, sf), 20), d.select(F.col("doc_id").alias("id"), "text"), 3000)
 
 
-@query(f"""WITH {_LEX}, h AS (SELECT qid, br.id, score, rank, p.doc_id AS pid, coalesce(p.doc_id, br.id) AS rid, substr(coalesce(p.text, d.text), 1, 40) AS txt FROM br JOIN documents d ON d.doc_id = br.id LEFT JOIN documents p ON p.doc_id = br.id - br.id % 4 AND br.id % 3 <> 0 WHERE rank <= 20)
+@query(f"""WITH {_LEX}, h AS (SELECT qid, br.id, score, rank, p.doc_id AS pid, coalesce(p.doc_id, br.id) AS rid, coalesce(p.text, d.text) AS txt FROM br JOIN documents d ON d.doc_id = br.id LEFT JOIN documents p ON p.doc_id = br.id - br.id % 4 AND br.id % 3 <> 0 WHERE rank <= 20)
 SELECT qid, rid AS id, min_by(txt, rank) AS text, max(score) AS score, row_number() OVER (PARTITION BY qid ORDER BY min(rank))::INTEGER AS rank FROM h GROUP BY qid, rid""")
 def pack_parents(spark, sf):
     d = t(spark, sf, "documents")
-    child = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") - F.col("doc_id") % 4).alias("parent_id"), F.substring("text", 1, 40).alias("text"))
-    up = d.select(F.col("doc_id").alias("parent_id"), F.substring("text", 1, 40).alias("parent_text"))
-    return pack.parents(lexical.bm25(d, text_queries(spark, sf), 20), child, up)
+    child = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") - F.col("doc_id") % 4).alias("parent_id"), F.col("text"))
+    up = d.select(F.col("doc_id").alias("parent_id"), F.col("text").alias("parent_text"))
+    return pack.parents(lexical.search(index(spark, sf), text_queries(spark, sf), 20), child, up)
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || '/' || doc_id WHEN doc_id % 3 = 1 THEN 'f' || doc_id ELSE doc_id::VARCHAR END AS uri, CASE WHEN doc_id % 2 = 0 THEN '3' ELSE sha256(text) END AS version, sha256(text) AS hash,
@@ -188,9 +188,9 @@ def pack_citations(spark, sf):
     return t(spark, sf, "documents").select("doc_id", pack.citation(F.col("doc_id").cast("string"), meta).alias("c")).select("doc_id", "c.*")
 
 
-@query("SELECT doc_id, '[' || source || '@v1#0:' || length(substr(text, 1, 30)) || '] ' || substr(text, 1, 30) AS inline, substr(text, 1, 30) || chr(10) || '— source: ' || source AS full_form, lang || ' > ' || source || ':' || chr(10) || substr(text, 1, 30) AS context FROM documents")
+@query("SELECT doc_id, '[' || source || '@v1#0:' || length(text) || '] ' || text AS inline, text || chr(10) || '— source: ' || source AS full_form, lang || ' > ' || source || ':' || chr(10) || text AS context FROM documents")
 def pack_render(spark, sf):
-    d = t(spark, sf, "documents").withColumn("s", F.substring("text", 1, 30))
+    d = t(spark, sf, "documents").withColumn("s", F.col("text"))
     none = F.lit(None).cast("string")
     return d.select(
         "doc_id",
@@ -211,14 +211,14 @@ def pack_verify(spark, sf):
     return d.select("doc_id", pack.verify_citation(F.col("text"), F.when(F.col("doc_id") % 4 == 1, "?").otherwise(span), start, start + F.octet_length(span), sha).alias("status"))
 
 
-@query("""WITH RECURSIVE h AS (SELECT user_id AS qid, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank, 60 + event_id % 40 AS head, event_id % 500 AS body FROM events WHERE user_id < 30),
+@query("""WITH RECURSIVE h AS (SELECT user_id AS qid, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank, 60 + event_id % 40 AS head, event_id % 500 AS body FROM events),
 k AS (SELECT DISTINCT qid, 0::BIGINT AS r, 0::BIGINT AS total, 0::BIGINT AS bytes, true AS took FROM h
   UNION ALL SELECT k.qid, h.rank, total + head + least(body, 2000 - total - head) + CASE WHEN k.r > 0 THEN 1 ELSE 0 END, head + least(body, 2000 - total - head), true FROM k JOIN h ON h.qid = k.qid AND h.rank = k.r + 1 AND h.rank <= 12 WHERE 2000 - total >= 96 AND head < 2000 - total)
 SELECT k.qid, h.id, k.r AS rank, bytes, total FROM k JOIN h ON h.qid = k.qid AND h.rank = k.r WHERE k.r > 0""")
 def pack_ledger(spark, sf):
     from pyspark.sql import Window
 
-    e = t(spark, sf, "events").filter("user_id < 30")
+    e = t(spark, sf, "events")
     h = e.select(F.col("user_id").alias("qid"), F.col("event_id").alias("id"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("rank"), (60 + F.col("event_id") % 40).alias("head_bytes"), (F.col("event_id") % 500).alias("body_bytes"))
     return pack.ledger_pack(h, 500, 12)
 

@@ -42,9 +42,9 @@ def parse_html(spark, sf):
 _JSON = "concat('{\"a\":{\"b\":', event_id, ',\"c\":null},\"t\":\"', event_type, '\",\"l\":[1,true]}')"
 
 
-@query("SELECT event_id, concat('a b ', event_id, ' a.b ', event_id, ' a.c t ', event_type, ' l 1 true') AS text FROM events WHERE event_id < 500")
+@query("SELECT event_id, concat('a b ', event_id, ' a.b ', event_id, ' a.c t ', event_type, ' l 1 true') AS text FROM events")
 def parse_json(spark, sf):
-    e = t(spark, sf, "events").filter("event_id < 500").select("event_id", F.encode(F.expr(_JSON), "utf-8").alias("content"), F.lit("json").alias("format"))
+    e = t(spark, sf, "events").select("event_id", F.encode(F.expr(_JSON), "utf-8").alias("content"), F.lit("json").alias("format"))
     return parsers.parse_documents(e).select("event_id", "text")
 
 
@@ -57,10 +57,10 @@ def parse_csv(spark, sf):
     return out.select("user_id", "text", F.get_json_object("meta", "$.rows").cast("long").alias("n_rows"))
 
 
-@query("SELECT event_id, concat('r k ', event_id, ' e v ', user_id, ' r.e.v ', user_id, ' e ', event_type, ' r.e ', event_type) AS text FROM events WHERE event_id < 300")
+@query("SELECT event_id, concat('r k ', event_id, ' e v ', user_id, ' r.e.v ', user_id, ' e ', event_type, ' r.e ', event_type) AS text FROM events")
 def parse_xml(spark, sf):
     x = F.expr("concat('<r k=\"', event_id, '\"><e v=\"', user_id, '\">', event_type, '</e></r>')")
-    e = t(spark, sf, "events").filter("event_id < 300").select("event_id", F.encode(x, "utf-8").alias("content"), F.lit("xml").alias("format"))
+    e = t(spark, sf, "events").select("event_id", F.encode(x, "utf-8").alias("content"), F.lit("xml").alias("format"))
     return parsers.parse_documents(e).select("event_id", "text")
 
 

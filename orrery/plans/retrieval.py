@@ -15,26 +15,38 @@ from orrery.plans.base import Registry, t
 query = Registry()
 
 
-def vec_queries(spark, sf, n: int = 20) -> DataFrame:
-    return t(spark, sf, "embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+def vec_queries(spark, sf, all_rows: bool = False) -> DataFrame:
+    """The vectors with an id divisible by 50, or all."""
+    return t(spark, sf, "embeddings").filter(F.lit(all_rows) | (F.col("vec_id") % 50 == 0)).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
 
 
-def text_queries(spark, sf, n: int = 10) -> DataFrame:
-    return t(spark, sf, "benchmark").filter(F.col("item_id") < n).select(F.col("item_id").alias("qid"), "text")
+def text_queries(spark, sf) -> DataFrame:
+    return t(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-_Q = "q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 20), v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
+_INDEXES: dict[tuple, lexical.Index] = {}
+
+
+def index(spark, sf) -> lexical.Index:
+    """The index of the documents, built and stored once a session: the tables don't change."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = lexical.build_index(t(spark, sf, "documents"))
+    return _INDEXES[key]
+
+
+_Q = "q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0), v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 _METRIC = {"cosine": "list_cosine_similarity(qv, e)", "l2": "1 / (1 + pow(list_distance(qv, e), 2))", "ip": "list_inner_product(qv, e)"}
 
 
-def _dense_sql(metric: str, k: int = 10, where: str = "true", final: str = "SELECT qid, id, score, rank FROM r WHERE rank <= {k}") -> str:
-    return f"""WITH {_Q}, s AS (SELECT qid, vec_id AS id, label, round({_METRIC[metric]}, 6) AS score FROM q, v WHERE {where}),
+def _dense_sql(metric: str, k: int = 10, where: str = "true", all_rows: bool = False, final: str = "SELECT qid, id, score, rank FROM r WHERE rank <= {k}") -> str:
+    return f"""WITH {_Q.replace(' WHERE vec_id % 50 = 0', '') if all_rows else _Q}, s AS (SELECT qid, vec_id AS id, label, round({_METRIC[metric]}, 6) AS score FROM q, v WHERE {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id::VARCHAR)::INTEGER AS rank FROM s) """ + final.format(k=k)
 
 
-@query(_dense_sql("cosine"))
+@query(_dense_sql("cosine", all_rows=True))
 def dense_topk_cosine(spark, sf):
-    return dense.top_k(t(spark, sf, "embeddings"), vec_queries(spark, sf), 10)
+    return dense.top_k(t(spark, sf, "embeddings"), vec_queries(spark, sf, True), 10)
 
 
 @query(_dense_sql("l2"))
@@ -47,16 +59,15 @@ def dense_topk_ip(spark, sf):
     return dense.top_k(t(spark, sf, "embeddings"), vec_queries(spark, sf), 10, "ip")
 
 
-@query(f"WITH {_Q} SELECT qid, vec_id AS id, round({_METRIC['cosine']}, 6) AS cosine, round({_METRIC['l2']}, 6) AS l2, round({_METRIC['ip']}, 6) AS ip FROM q, v WHERE qid < 3 AND vec_id % 7 = 0")
+@query(f"WITH {_Q} SELECT qid, vec_id AS id, round({_METRIC['cosine']}, 6) AS cosine, round({_METRIC['l2']}, 6) AS l2, round({_METRIC['ip']}, 6) AS ip FROM q, v")
 def dense_scores(spark, sf):
-    q = F.broadcast(vec_queries(spark, sf, 3))
-    rows = t(spark, sf, "embeddings").filter("vec_id % 7 = 0").crossJoin(q)
+    rows = t(spark, sf, "embeddings").crossJoin(vec_queries(spark, sf))  # a stated query set against all rows
     return rows.select("qid", F.col("vec_id").alias("id"), *[F.round(m(F.col("qvec"), F.col("embedding")), 6).alias(n) for n, m in V.METRICS.items()])
 
 
-@query(_dense_sql("cosine", where="label IN (1, 3)"))
+@query(_dense_sql("cosine", where="label IN (1, 3)", all_rows=True))
 def dense_topk_filtered(spark, sf):
-    return dense.top_k(t(spark, sf, "embeddings"), vec_queries(spark, sf), 10, where=F.col("label").isin(1, 3))
+    return dense.top_k(t(spark, sf, "embeddings"), vec_queries(spark, sf, True), 10, where=F.col("label").isin(1, 3))
 
 
 @query(_dense_sql("cosine", 50, final="SELECT qid, id, score, rank FROM r WHERE score >= 0.2 AND rank <= {k}"))
@@ -107,14 +118,14 @@ def dense_quantized_rescored(spark, sf):
 def dense_mock_hybrid(spark, sf):
     """Dense search by the mock embedder, fused with BM25; the embedder is a byte-wise hash, which SQL can't express."""
     d = dense.mock_embedding(t(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text"))
-    q = t(spark, sf, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("qid"), "text")
+    q = text_queries(spark, sf).filter("qid % 50 = 0")
     de = dense.top_k(d, dense.mock_embedding(q).select("qid", F.col("embedding").alias("qvec")), 40)
-    return fusion.hybrid(de, lexical.bm25(t(spark, sf, "documents"), q, 40), 10)
+    return fusion.hybrid(de, lexical.search(index(spark, sf), q, 40), 10)
 
 
 _LEX = f"""dt AS (SELECT doc_id AS id, {sql_tokens('text')} AS toks FROM documents), dl AS (SELECT id, toks, len(toks) AS dl FROM dt WHERE len(toks) > 0),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({sql_tokens('text')}) AS term FROM benchmark WHERE item_id < 10) GROUP BY ALL),
+qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({sql_tokens('text')}) AS term FROM benchmark) GROUP BY ALL),
 tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, dl, unnest(toks) AS term FROM dl) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 bs AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) * qtf), 6) AS score
@@ -145,20 +156,30 @@ def lex_corpus_stats(spark, sf):
 
 @query("WITH " + _LEX + " SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, st")
 def lex_idf(spark, sf):
-    d = lexical.tokenized(t(spark, sf, "documents"))
-    terms = F.broadcast(lexical.query_terms(text_queries(spark, sf)).select("term").distinct())
-    df = d.select("id", F.explode(F.array_distinct("tokens")).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(d.agg(F.count("*").alias("n_docs")))).select("term", "df", F.round(lexical.idf(), 6).alias("idf"))
+    own = index(spark, sf)
+    df = lexical.matches(own, lexical.query_terms(text_queries(spark, sf))).select("term", "df").distinct()
+    return df.withColumn("n_docs", F.lit(own.n_docs)).select("term", "df", F.round(lexical.idf(), 6).alias("idf"))
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 = 4 THEN 'renewedWord and ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3),
+x AS (SELECT id, unnest({sql_tokens('text')}) AS term FROM d), tf AS (SELECT id, term, count(*) AS tf FROM x GROUP BY ALL)
+SELECT term, count(*) AS df, sum(tf)::BIGINT AS total, (SELECT count(DISTINCT id) FROM x) AS n_docs, round((SELECT count(*) / count(DISTINCT id) FROM x), 6) AS avgdl FROM tf GROUP BY term""")
+def lex_index_update(spark, sf):
+    """The stored index after documents were removed and others upserted."""
+    d = t(spark, sf, "documents")
+    new = d.filter("doc_id % 10 = 4").select("doc_id", F.concat(F.lit("renewedWord and "), "text").alias("text"))
+    now = lexical.update_index(index(spark, sf), d.filter("doc_id % 10 = 3").select(F.col("doc_id").alias("id")), new)
+    return now.rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).select("term", "df", "total", F.lit(now.n_docs).alias("n_docs"), F.round(F.lit(now.avgdl), 6).alias("avgdl"))
 
 
 @query("WITH " + _LEX + " SELECT * FROM br WHERE rank <= 10")
 def lex_bm25_topk(spark, sf):
-    return lexical.bm25(t(spark, sf, "documents"), text_queries(spark, sf), 10)
+    return lexical.search(index(spark, sf), text_queries(spark, sf), 10)
 
 
 @query("WITH " + _LEX + " SELECT * FROM orr WHERE rank <= 10")
 def lex_overlap_topk(spark, sf):
-    return lexical.overlap(t(spark, sf, "documents"), text_queries(spark, sf), 10)
+    return lexical.overlap(index(spark, sf), text_queries(spark, sf), 10)
 
 
 def _fused(w1: float, w2: float, k: int = 10) -> str:
@@ -169,34 +190,45 @@ SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC,
 
 @query(_fused(1.0, 1.0))
 def fusion_rrf(spark, sf):
-    d, q = t(spark, sf, "documents"), text_queries(spark, sf)
-    return fusion.rrf([(lexical.bm25(d, q, 40), 1.0), (lexical.overlap(d, q, 40), 1.0)], 10)
+    d, q = index(spark, sf), text_queries(spark, sf)
+    return fusion.rrf([(lexical.search(d, q, 40), 1.0), (lexical.overlap(d, q, 40), 1.0)], 10)
 
 
 @query(_fused(0.7, 0.3))
 def fusion_weighted(spark, sf):
-    d, q = t(spark, sf, "documents"), text_queries(spark, sf)
-    return fusion.rrf([(lexical.bm25(d, q, 40), 0.7), (lexical.overlap(d, q, 40), 0.3), (lexical.overlap(d, q, 40), 0.0)], 10)
+    d, q = index(spark, sf), text_queries(spark, sf)
+    return fusion.rrf([(lexical.search(d, q, 40), 0.7), (lexical.overlap(d, q, 40), 0.3), (lexical.overlap(d, q, 40), 0.0)], 10)
 
 
-@query(_fused(1.0, 1.0))
+@query(f"""WITH {_LEX}, s AS (SELECT item_id AS qid, v.vec_id AS id, round(list_cosine_similarity(x.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+  FROM benchmark JOIN embeddings x ON x.vec_id = item_id CROSS JOIN embeddings v WHERE v.vec_id IN (SELECT doc_id FROM documents)),
+de AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id::VARCHAR) AS rank FROM s QUALIFY rank <= 40),
+lex AS (SELECT qid, id, rank FROM br WHERE rank <= 40),
+kept AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM de
+  WHERE score > 0 OR (qid, id) IN (SELECT (qid, id) FROM lex) OR qid NOT IN (SELECT qid FROM lex)),
+u AS (SELECT qid, id, 1.0 / (60 + rank) AS part FROM kept UNION ALL SELECT qid, id, 1.0 / (60 + rank) FROM lex),
+f AS (SELECT qid, id, round(sum(part), 9) AS score FROM u GROUP BY qid, id)
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id::VARCHAR)::INTEGER AS rank FROM f QUALIFY rank <= 10""")
 def text_search_hybrid(spark, sf):
-    """Hybrid search as one plan: two lexical signals stand in for the two lists, since no text embedder is at hand."""
-    d, q = t(spark, sf, "documents"), text_queries(spark, sf)
+    """Hybrid search: dense hits by the vectors of `embeddings` (a row's id is that of the document or query it stands for), fused with
+    BM25 hits by the texts."""
+    q, v = text_queries(spark, sf), t(spark, sf, "embeddings")
     n = fusion.pool_size(10, True)
-    return fusion.hybrid(lexical.overlap(d, q, n), lexical.bm25(d, q, n), 10)
+    asked = q.select("qid").join(v.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), "qid")
+    own = v.join(t(spark, sf, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    return fusion.hybrid(dense.top_k(own, asked, n), lexical.search(index(spark, sf), q, n), 10)
 
 
 @query(f"""WITH {_Q}, s AS (SELECT qid, vec_id AS id, round({_METRIC['cosine']}, 6) AS score FROM q, v),
 de AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id::VARCHAR) AS rank FROM s QUALIFY rank <= 400),
-lex AS (SELECT qid, vec_id AS id, row_number() OVER (PARTITION BY qid ORDER BY vec_id) AS rank FROM q, v WHERE qid >= 5 AND vec_id % 20 = qid),
-kept AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM de WHERE score > 0 OR qid < 5 OR id % 20 = qid),
+lex AS (SELECT qid, vec_id AS id, row_number() OVER (PARTITION BY qid ORDER BY vec_id) AS rank FROM q, v WHERE qid >= 100 AND vec_id % 20 = qid // 50 % 20),
+kept AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM de WHERE score > 0 OR qid < 100 OR id % 20 = qid // 50 % 20),
 u AS (SELECT qid, id, 1.0 / (60 + rank) AS part FROM kept UNION ALL SELECT qid, id, 1.0 / (60 + rank) FROM lex),
 f AS (SELECT qid, id, round(sum(part), 9) AS score FROM u GROUP BY qid, id)
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id::VARCHAR)::INTEGER AS rank FROM f QUALIFY rank <= 30""")
 def hybrid_rule(spark, sf):
     v, q = t(spark, sf, "embeddings"), vec_queries(spark, sf)
-    lex = v.crossJoin(F.broadcast(q.select("qid"))).filter("qid >= 5 and vec_id % 20 = qid").select("qid", F.col("vec_id").alias("id"))
+    lex = v.crossJoin(F.broadcast(q.select("qid"))).filter("qid >= 100 and vec_id % 20 = qid div 50 % 20").select("qid", F.col("vec_id").alias("id"))
     lex = lex.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("id")))
     return fusion.hybrid(dense.top_k(v, q, 400), lex, 30)
 
@@ -206,7 +238,7 @@ def hybrid_rule(spark, sf):
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, before DESC, id::VARCHAR)::INTEGER AS rank FROM h""")
 def rerank_overlap(spark, sf):
     d, q = t(spark, sf, "documents"), text_queries(spark, sf)
-    return fusion.overlap_rerank(lexical.bm25(d, q, 20), q, d)
+    return fusion.overlap_rerank(lexical.search(index(spark, sf), q, 20), q, d)
 
 
 @query(_dense_sql("cosine"))
@@ -214,7 +246,7 @@ def rerank_identity(spark, sf):
     return fusion.identity_rerank(dense.top_k(t(spark, sf, "embeddings"), vec_queries(spark, sf), 10))
 
 
-@query(f"""WITH RECURSIVE {_Q.replace('vec_id < 20', 'vec_id < 4')}, s AS (SELECT qid, vec_id AS id, e, round({_METRIC['cosine']}, 6) AS score FROM q, v),
+@query(f"""WITH RECURSIVE {_Q}, s AS (SELECT qid, vec_id AS id, e, round({_METRIC['cosine']}, 6) AS score FROM q, v),
 p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id::VARCHAR) AS rank FROM s) WHERE rank <= 20),
 m AS (
   SELECT qid, id, score, 1 AS rank, [id] AS chosen FROM p WHERE rank = 1
@@ -227,7 +259,7 @@ m AS (
 SELECT qid, id, score, rank::INTEGER AS rank FROM m""")
 def mmr_select(spark, sf):
     v = t(spark, sf, "embeddings")
-    return fusion.mmr(dense.top_k(v, vec_queries(spark, sf, 4), 20).select("qid", "id", "score"), v, 6)
+    return fusion.mmr(dense.top_k(v, vec_queries(spark, sf), 20).select("qid", "id", "score"), v, 6)
 
 
 _PLANNED = (
@@ -250,20 +282,20 @@ def planner_modes(spark, sf):
     return fusion.plan(q, "q").withColumn("reasons", F.array_join("reasons", "; "))
 
 
-@query("""WITH e AS (SELECT vec_id % 5 AS qid, vec_id AS id, (vec_id % 4)::INTEGER AS hop, round(vec_id / 1000.0, 6)::DOUBLE AS seed FROM embeddings WHERE vec_id < 200),
+@query("""WITH e AS (SELECT vec_id % 5 AS qid, vec_id AS id, (vec_id % 4)::INTEGER AS hop, round(vec_id / 1000.0, 6)::DOUBLE AS seed FROM embeddings),
 u AS (SELECT qid, id, seed AS score FROM e WHERE id % 3 = 0 UNION ALL SELECT qid, id, seed * pow(0.85, hop) FROM e),
 f AS (SELECT qid, id, round(max(score), 6) AS score FROM u GROUP BY qid, id)
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id::VARCHAR)::INTEGER AS rank FROM f QUALIFY rank <= 8""")
 def graph_score_merge(spark, sf):
-    e = t(spark, sf, "embeddings").filter("vec_id < 200").select((F.col("vec_id") % 5).alias("qid"), F.col("vec_id").alias("id"), (F.col("vec_id") % 4).cast("int").alias("hop"), F.round(F.col("vec_id") / 1000.0, 6).alias("seed_score"))
+    e = t(spark, sf, "embeddings").select((F.col("vec_id") % 5).alias("qid"), F.col("vec_id").alias("id"), (F.col("vec_id") % 4).cast("int").alias("hop"), F.round(F.col("vec_id") / 1000.0, 6).alias("seed_score"))
     return fusion.merge_graph_scores(e.filter("id % 3 = 0").select("qid", "id", F.col("seed_score").alias("score")), e, 8)
 
 
 @query("WITH " + _LEX + """ SELECT (SELECT count(*) FROM br WHERE rank <= 40)::BIGINT AS lexical_candidates, (SELECT count(*) FROM orr WHERE rank <= 40)::BIGINT AS overlap_candidates,
   (SELECT count(*) FROM (SELECT DISTINCT qid, id FROM br WHERE rank <= 40 UNION SELECT DISTINCT qid, id FROM orr WHERE rank <= 40))::BIGINT AS fused_candidates""")
 def search_diagnostics(spark, sf):
-    d, q = t(spark, sf, "documents"), text_queries(spark, sf)
-    both = lexical.bm25(d, q, 40).select("qid", "id", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(lexical.overlap(d, q, 40).select("qid", "id", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    d, q = index(spark, sf), text_queries(spark, sf)
+    both = lexical.search(d, q, 40).select("qid", "id", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(lexical.overlap(d, q, 40).select("qid", "id", F.lit(0).alias("a"), F.lit(1).alias("b")))
     return both.groupBy("qid", "id").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).agg(F.sum("a").alias("lexical_candidates"), F.sum("b").alias("overlap_candidates"), F.count("*").alias("fused_candidates"))
 
 
