@@ -211,7 +211,8 @@ def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataF
 def _similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     """Verified links (a, b) between different sets. nodes: (seq, n, fp, keys, shingles).
 
-    All pairs of a block with up to SMALL sets are verified. In a fuller one each set is put to one leader, the set with the most full
+    First each set is put to the leader of its largest block; sets that this connects are not compared again. Then all pairs of
+    a block with up to SMALL sets are verified. In a fuller one each set is put to one leader, the set with the most full
     blocks: in a family of edits that is the text they come from. So pairs grow with the blocks, not with their squares. Those not
     similar to a leader have their other blocks; a set without a link that shares an eighth of its blocks or more, full ones
     only, is compared with all of its smallest. So a link is missed only between sets that share no small block, have links elsewhere
@@ -222,22 +223,29 @@ def _similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     keyed = nodes.select("seq", "n", "fp", F.size("keys").alias("of"), F.explode("keys").alias("key"))
     counts = stored(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "similar-blocks")
     shared = stored(keyed.join(counts.hint("merge"), "key"), "similar-keys")
-    light = shared.filter(F.col("m") <= SMALL)
-    a, b = light.select("key", F.col("seq").alias("a"), F.col("n").alias("na"), F.col("fp").alias("fa")), light.select("key", F.col("seq").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fb"))
-    pairs = a.join(b.hint("merge"), "key").filter((F.col("a") < F.col("b")) & sized("na", "nb") & far("fa", "fb")).select("a", "b")
-
-    full = shared.filter(F.col("m") > SMALL)
-    central = stored(full.groupBy("seq").agg(F.count("*").alias("c")), "similar-central")
-    best = full.join(central.hint("merge"), "seq").groupBy("key").agg(F.max(F.struct("c", F.negative("seq").alias("s"), "n", "fp")).alias("l"))
-    leaders = stored(best.select("key", F.negative("l.s").alias("b"), F.col("l.n").alias("nb"), F.col("l.fp").alias("fb")), "similar-leaders")
-    stars = lookup(full, leaders, ["key"]).filter((F.col("seq") != F.col("b")) & sized("n", "nb") & far("fp", "fb"))
-    pairs = stored(pairs.unionByName(stars.select(F.col("seq").alias("a"), "b")).distinct(), "similar-pairs")
 
     def verified(p: DataFrame) -> DataFrame:
         needed = p.select(F.explode(F.array("a", "b")).alias("seq")).distinct()
         return _verified(p, stored(nodes.select("seq", "shingles").join(needed.hint("merge"), "seq", "left_semi"), "similar-shingles"), similarity)
 
-    found = stored(verified(pairs), "similar-links")
+    full = shared.filter(F.col("m") > SMALL)
+    central = stored(full.groupBy("seq").agg(F.count("*").alias("c"), F.max(F.struct("m", "key"))["key"].alias("key")), "similar-central")
+    best = full.join(central.select("seq", "c").hint("merge"), "seq").groupBy("key").agg(F.max(F.struct("c", F.negative("seq").alias("s"), "n", "fp")).alias("l"))
+    leaders = stored(best.select("key", F.negative("l.s").alias("b"), F.col("l.n").alias("nb"), F.col("l.fp").alias("fb")), "similar-leaders")
+    # each set with the leader of its largest block first; what that connects is compared no more
+    first = lookup(full.join(central.select("seq", "key").hint("merge"), ["seq", "key"], "left_semi"), leaders, ["key"])
+    first = first.filter((F.col("seq") != F.col("b")) & sized("n", "nb") & far("fp", "fb")).select(F.col("seq").alias("a"), "b")
+    first = stored(verified(stored(first, "similar-first")), "similar-links")
+    joined = components(first).select(F.col("node").alias("seq"), "component")
+    shared = stored(shared.join(joined.hint("merge"), "seq", "left").withColumn("part", F.coalesce("component", "seq")).drop("component"), "similar-parts")
+    light, full = shared.filter(F.col("m") <= SMALL), shared.filter(F.col("m") > SMALL)
+    a, b = (light.select("key", F.col("seq").alias(x), F.col("n").alias("n" + x), F.col("fp").alias("f" + x), F.col("part").alias("p" + x)) for x in "ab")
+    pairs = a.join(b.hint("merge"), (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & sized("na", "nb") & far("fa", "fb")).select("a", "b")
+    named = stored(leaders.join(shared.select(F.col("seq").alias("b"), F.col("part").alias("pb")).distinct(), "b"), "similar-leaders")
+    stars = lookup(full, named, ["key"]).filter((F.col("part") != F.col("pb")) & sized("n", "nb") & far("fp", "fb"))
+    pairs = stored(pairs.unionByName(stars.select(F.col("seq").alias("a"), "b")).distinct(), "similar-pairs")
+
+    found = stored(first.unionByName(verified(pairs)), "similar-links")
     linked = found.select(F.explode(F.array("a", "b")).alias("seq")).distinct()
     alone = full.join(light.select("seq").distinct().hint("merge"), "seq", "left_anti").join(linked.hint("merge"), "seq", "left_anti")
     alone = alone.groupBy("seq").agg(F.min(F.struct("m", "key")).alias("s"), F.count("*").alias("c"), F.first("of").alias("of"), F.first("n").alias("na"), F.first("fp").alias("fa"))
