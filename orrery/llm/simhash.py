@@ -213,9 +213,10 @@ def _similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
 
     First each set is put to the leader of its largest block; sets that this connects are not compared again. Then all pairs of
     a block with up to SMALL sets are verified. In a fuller one each set is put to one leader, the set with the most full
-    blocks: in a family of edits that is the text they come from. So pairs grow with the blocks, not with their squares. Those not
+    blocks: in a family of edits that is the text they come from. Those not
     similar to a leader have their other blocks; a set without a link that shares an eighth of its blocks or more, full ones
-    only, is compared with all of its smallest. So a link is missed only between sets that share no small block, have links elsewhere
+    only, is compared with all of its smallest. So pairs grow with the blocks, but for this last step, which grows with the square where
+    many such sets share one block. A link is missed only between sets that share no small block, have links elsewhere
     and no leader similar to both. Joins that grow with the documents are by shuffle at every size.
     """
     far = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= FAR
