@@ -164,6 +164,29 @@ def test_blocks_are_shared_at_the_least_similarity():
         assert missed == 0, n
 
 
+def test_rare_pairs_by_brute_force(spark):
+    """Edits of common origins near the least similarity, sets that share a passage, small and equal ones."""
+    rng = random.Random(8)
+    number = lambda: rng.randrange(1 << 32)
+    passage, sets = {number() for _ in range(40)}, []
+    for size in (1, 2, 4, 5, 9, 10, 30, 90, 400):
+        for _ in range(4):
+            base = {number() for _ in range(size)}
+            for _ in range(9):
+                lost = rng.randint(0, max(1, size // 8))
+                sets.append(set(rng.sample(sorted(base), size - min(lost, size - 1))) | {number() for _ in range(rng.randint(0, max(1, size // 7)))})
+    sets += [passage | {number() for _ in range(80)} for _ in range(60)] + [set(), set()]
+    alone = [rng.random() < 0.5 for _ in sets]
+    rows = [(i, 0, np.array(sorted(x), "<u4").tobytes(), alone[i]) for i, x in enumerate(sets)]
+    d = spark.createDataFrame(rows, "seq long, fp long, shingles binary, alone boolean").repartition(4)
+    got = {tuple(sorted((r["a"], r["b"]))) for r in simhash._rare_pairs(d, 0.8).collect()}
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if alone[i] or alone[j]]
+    want = {(i, j) for i, j in pairs if sets[i] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+    assert len(want) > 300 and want <= got
+    first = len(sets) - 62
+    assert not [p for p in got if first <= p[0] and p[1] < first + 60]  # a shared passage alone brings none together
+
+
 def test_groups_without_ids_and_repeated_ids(spark):
     one, two = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
     d = spark.createDataFrame([(None, one, 1), (None, one, 1), (None, one + " more", 2), (3, two, 3), (3, one[:20], 4), (2, two.upper(), 5), (3, two, 3), (None, None, 6), (9, "", 7)], "doc_id long, text string, __x int")
