@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from orrery.functions.stage import micros, shared_dir
+from orrery.functions.stage import shared_dir
 from orrery.plans.base import Registry, t
 from orrery.sources import chunking, events, parsers
 from orrery.streaming import ingest
@@ -137,8 +137,8 @@ def stream_dedup(spark, sf):
     """A stream of the events file, idempotent by content: the same as the batch answer."""
     src, out = _folder(spark, "stream-source"), _folder(spark, "stream-dedup")
     t(spark, sf, "events").write.parquet(src)
-    s = ingest.read_stream(spark, src, _EVENT).withColumn("at", F.timestamp_micros(micros("ts")))
-    ingest.idempotent_sink(ingest.first_seen(s, "props", "at", "100 days"), out, out + "-checkpoint").awaitTermination()
+    s = ingest.read_stream(spark, src, _EVENT)
+    ingest.idempotent_sink(ingest.least_seen(s, "props", "event_id"), out, out + "-checkpoint", "update").awaitTermination()
     return spark.read.parquet(out).groupBy("props").agg(F.min("event_id").alias("event_id"))
 
 

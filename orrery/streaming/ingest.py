@@ -15,18 +15,25 @@ def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: in
 
 
 def first_seen(stream: DataFrame, content: str, event_time: str, delay: str = "1 day") -> DataFrame:
-    """The first row of each content within the watermark, by sha-256; the state is bounded by the watermark."""
+    """One row of each content within the watermark, by sha-256: the one that comes first. Which of a micro-batch's rows that is, is open
+    (least_seen has it by a column). The state is bounded by the watermark, and later rows are dropped."""
     keyed = stream.withColumn("sha256", F.sha2(F.col(content), 256)).withWatermark(event_time, delay)
     return keyed.dropDuplicatesWithinWatermark(["sha256"])
 
 
-def idempotent_sink(df: DataFrame, path: str, checkpoint: str):
+def least_seen(stream: DataFrame, content: str, order: str) -> DataFrame:
+    """(content, order): the least order of each content among all rows so far, in whatever order they come. In update mode a batch has the
+    contents it touched; the least of a content's rows is the answer. The state is one row a content, with no watermark: no row is late."""
+    return stream.groupBy(content).agg(F.min(order).alias(order))
+
+
+def idempotent_sink(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """A query that writes each micro-batch to a folder of its own, named by the batch: a repeated batch replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def split_failures(df: DataFrame, good: str, dead: str, checkpoint: str):
