@@ -25,8 +25,6 @@ WORDS, SIMILARITY, PARTS, PART_SHINGLES = 5, 0.8, 32, 4
 SMALL = 8
 #: Differing bits of whole fingerprints up to which a pair is verified: 5.7 standard errors above what SIMILARITY gives.
 FAR = 26
-#: Ratio of the sizes at the ends of a band of sizes.
-BAND = 1.02
 #: Bits of a shingle's hash that name the counter of its frequency: 2 MB of counters.
 RARE_BITS = 18
 
@@ -214,17 +212,20 @@ def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataF
 
 
 def _rare_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of sets, one of them alone at the least, that share one of their rarest shingles: all pairs at `similarity` whose
-    whole fingerprints are near, and some others. nodes: (seq, fp, shingles, alone).
-
-    Two tables of rare shingles s, of sets as the smaller one of a pair and as the larger one, are joined by s and band. Sets of k
-    and l shingles share c = similarity / (1 + similarity) * (k + l) at the least, so the rarest that they share is among the
-    k - c + 1 and l - c + 1 rarest of theirs. The larger has rows for each band of smaller sizes, since the smaller the other, the
-    further that reaches. Shingles that join nothing have no rows, but their places (at) count: sets that all differ from a common
+    """Pairs (a, b) of sets of different parts that share one of their rarest shingles: all such pairs at `similarity` whose whole
+    fingerprints are near, and some others. nodes: (seq, fp, shingles), and part, the number of what is joined already; without it
+    each set is one.
+
+    Two tables of rare shingles s, of sets as the smaller one of a pair and as the larger one, are joined by s and by a band of sizes:
+    it is so wide that the smaller is in the band of the larger or in the next lower one. Sets of k and l shingles share
+    c = similarity / (1 + similarity) * (k + l) at the least, so the rarest that they share is among the k - c + 1 and l - c + 1 rarest
+    of theirs. Shingles of one part only have no rows, but their places (at) count: sets that all differ from a common
     origin in more than it takes to be unlike it don't meet. How often a shingle occurs is counted in 2 ** RARE_BITS counters by the
     first bits of its hash, the size of the only table that is broadcast; any order common to all sets loses no pair."""
     share = similarity / (1 + similarity)
-    band = lambda k: F.floor(F.log(k) / F.log(F.lit(BAND))).cast("int")
+    # a hundredth wider than sizes at `similarity` can be apart
+    band = lambda k: F.floor(F.log(k) / math.log(1.01 / similarity)).cast("int")
+    nodes = nodes.select("seq", "fp", "part" if "part" in nodes.columns else F.col("seq").alias("part"), "shingles")
     drop = np.uint32(32 - RARE_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,30 +246,41 @@ def _rare_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     often = nodes.sparkSession.sparkContext.broadcast(often.ravel())
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["seq", "fp", "part", "k", "s", "at"]
+        whole = lambda made: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], names=names)
+        made, n = [], 0
         for b in batches:
-            for seq, fp, alone, kept in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for *own, kept in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = np.frombuffer(kept, "<u4")
                 k, m = len(h), often.value[h >> drop]
                 order = np.lexsort((h, m))[: k - math.ceil(similarity * k - 1e-6) + 1]
                 at = np.flatnonzero(m[order] > 1)
-                same = [np.full(len(at), x) for x in (seq, fp, alone, k)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, same), pa.array(h[order[at]].astype(np.int64)), pa.array(at + 1)], names=["seq", "fp", "alone", "k", "s", "at"])
-
-    rows = stored(nodes.select("seq", "fp", "alone", "shingles").mapInArrow(rarest, "seq long, fp long, alone boolean, k long, s long, at long"), "similar-rarest")
-    met = rows.groupBy("s").agg(F.count("*").alias("m")).filter("m > 1")
-    rows = stored(rows.join(met.hint("merge"), "s", "left_semi"), "similar-rarest")
-    smaller = rows.filter(F.col("at") <= F.col("k") - F.ceil(2 * share * F.col("k") - 1e-6) + 1).withColumn("band", band(F.col("k")))
-    least = band(similarity * F.col("k") - 1e-6)
-    # the largest of the smaller sizes at which this place still counts
+                made.append([*(np.full(len(at), x, np.int64) for x in (*own, k)), h[order[at]].astype(np.int64), at + 1])
+                n += len(at)
+                if n >= 1 << 16:
+                    yield whole(made)
+                    made, n = [], 0
+        if made:
+            yield whole(made)
+
+    rows = stored(nodes.mapInArrow(rarest, "seq long, fp long, part long, k long, s long, at long"), "similar-rarest")
+    met = rows.groupBy("s").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("s")
+    rows = stored(rows.join(met.hint("merge"), "s", "left_semi").withColumn("band", band(F.col("k"))), "similar-rarest")
+    # the largest of the smaller sizes at which a place still counts
     most = F.least(F.col("k").cast("double"), (F.col("k") - F.col("at") + 1 + 1e-6) / share - F.col("k") + 1e-6)
-    larger = rows.withColumn("band", F.explode(F.sequence(least, F.greatest(least, band(most)))))
-    a, b = (t.select("s", "band", *[F.col(c).alias(d + x) for c, d in (("seq", ""), ("fp", "f"), ("k", "k"), ("at", "at_"), ("alone", "alone_"))]) for t, x in ((smaller, "a"), (larger, "b")))
+    smaller = rows.filter(F.col("at") <= F.col("k") - F.ceil(2 * share * F.col("k") - 1e-6) + 1)
+    same, lower = rows.filter(band(most) >= F.col("band")), rows.filter(band(similarity * F.col("k") - 1e-6) < F.col("band")).withColumn("band", F.col("band") - 1)
+    named = lambda t, x: t.select("s", "band", *[F.col(c).alias(d + x) for c, d in (("seq", ""), ("fp", "f"), ("part", "p"), ("k", "k"), ("at", "at_"))])
     common = F.ceil(share * (F.col("ka") + F.col("kb")) - 1e-6)
     placed = (F.col("at_a") <= F.col("ka") - common + 1) & (F.col("at_b") <= F.col("kb") - common + 1)
     ordered = (F.col("ka") < F.col("kb")) | (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b"))
-    fits = ordered & placed & (F.col("ka") >= similarity * F.col("kb") - 1e-9) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR)
-    meet = lambda a, b: a.join(b.hint("merge"), (a["s"] == b["s"]) & (a["band"] == b["band"]) & fits).select("a", "b")
-    return meet(a.filter("alone_a"), b).unionByName(meet(a.filter("not alone_a"), b.filter("alone_b"))).distinct()
+    fits = (F.col("pa") != F.col("pb")) & ordered & placed & (F.col("ka") >= similarity * F.col("kb") - 1e-9) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR)
+
+    def meet(larger: DataFrame) -> DataFrame:
+        a, b = named(smaller, "a"), named(larger, "b")
+        return a.join(b.hint("merge"), (a["s"] == b["s"]) & (a["band"] == b["band"]) & fits).select("a", "b")
+
+    return meet(same).unionByName(meet(lower)).distinct()
 
 
 def _similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -277,10 +289,10 @@ def _similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     First each set is put to the leader of its largest block; sets that this connects are not compared again. Then all pairs of
     a block with up to SMALL sets are verified. In a fuller one each set is put to one leader, the set with the most full
     blocks: in a family of edits that is the text they come from. Those not
-    similar to a leader have their other blocks; a set without a link that shares an eighth of its blocks or more, full ones
-    only, is compared with those of its blocks that share one of its rarest shingles (_rare_pairs): sets that share but a passage, or
-    that were edited too far from a common origin, don't meet. So pairs grow with the blocks. A link is missed only between sets that
-    share no small block, have links elsewhere and no leader similar to both. Joins that grow with the documents are by shuffle at every size.
+    similar to a leader have their other blocks; so all sets of a full block that isn't of one part (what the leaders of the largest
+    blocks have joined) are compared with those that share one of their rarest shingles and are of another part (_rare_pairs): sets
+    that share but a passage, or that were edited too far from a common origin, don't meet. So pairs grow with the blocks, and every link
+    between sets that share a block is found, or both its ends are joined already. Joins that grow with the documents are by shuffle at every size.
     """
     far = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= FAR
     sized = lambda x, y: (F.col(x) >= similarity * F.col(y) - 1e-9) & (F.col(y) >= similarity * F.col(x) - 1e-9)
@@ -310,15 +322,11 @@ def _similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     pairs = stored(pairs.unionByName(stars.select(F.col("seq").alias("a"), "b")).distinct(), "similar-pairs")
 
     found = stored(first.unionByName(verified(pairs)), "similar-links")
-    linked = found.select(F.explode(F.array("a", "b")).alias("seq")).distinct()
-    alone = full.join(light.select("seq").distinct().hint("merge"), "seq", "left_anti").join(linked.hint("merge"), "seq", "left_anti")
-    alone = stored(alone.groupBy("seq").agg(F.count("*").alias("c"), F.first("of").alias("of"), F.collect_set("key").alias("keys")).filter("8 * c >= of"), "similar-alone")
-    if not alone.head(1):
+    mixed = full.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("key")
+    near = stored(full.join(mixed.hint("merge"), "key", "left_semi").select("seq", "part").distinct(), "similar-near")
+    if not near.head(1):
         return found
-    met = alone.select(F.explode("keys").alias("key")).distinct()
-    near = full.join(met.hint("merge"), "key", "left_semi").select("seq").distinct()
-    asked = alone.select("seq", F.lit(True).alias("alone"))
-    own = nodes.join(near.hint("merge"), "seq", "left_semi").join(asked.hint("merge"), "seq", "left").fillna(False, ["alone"])
+    own = nodes.join(near.hint("merge"), "seq").select("seq", "fp", "part", "shingles")
     more = stored(_rare_pairs(own, similarity), "similar-rest")
     return found.unionByName(verified(more))
 
